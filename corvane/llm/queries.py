@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import mixing, ogg, simhash
-from corvane.llm.common import table
+from corvane.llm import lattice_lm, mixing, ogg, simhash, toxicity
+from corvane.llm.common import fold_of, table
+
+#: Where the public vocabulary lies on every machine.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(fold_of(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"))
+    return lattice_lm.score(docs, PIECE_MODEL, em_steps=1)
 
 
 def op4_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +28,23 @@ def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
+    known = table(spark, sf_dir, "labels").where(~held)
+    scored = toxicity.with_scores(docs, toxicity.fit(toxicity.labelled_rows(docs, known)), "score")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digest(ogg.probe(ogg.to_media(table(spark, sf_dir, "documents"))))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_lattice_lm": op3_lattice_lm,
     "op4_sainte_lague_mix": op4_sainte_lague_mix,
     "op5_covering_simhash": op5_covering_simhash,
+    "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
     "op9_ogg_media": op9_ogg_media,
 }
 
