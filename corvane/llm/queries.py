@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import lattice_lm, mixing, ogg, simhash, toxicity
+from corvane.llm import lattice_lm, licences, line_align, merge_dropout, mixing, ogg, onebit_ann, pseudonyms, simhash, toxicity
 from corvane.llm.common import fold_of, table
 
 #: Where the public vocabulary lies on every machine.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+#: A key for tests and checks; a deployment passes its own.
+PSEUDONYM_KEY = "corvane-pseudonyms-1"
+
+
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs, PSEUDONYM_KEY).select("doc_id", "text", "n_values", "kinds")
+
+
+def op2_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(fold_of(F.col("doc_id"), 7) == 2, F.lit(False)).alias("held_out"))
     return lattice_lm.score(docs, PIECE_MODEL, em_steps=1)
@@ -28,6 +41,11 @@ def op5_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("code"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_align.dedup_lines(docs).select("doc_id", "text", "lines_dropped", "words_dropped")
+
+
 def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(fold_of(F.col("doc_id"), 5) == 0, F.lit(False))
@@ -36,16 +54,33 @@ def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    merger = merge_dropout.Merger(PIECE_MODEL, dropout=0.1, seed=8)
+    back = merge_dropout.decode(merge_dropout.encode(docs, merger, "ids"), merger, "ids", "decoded")
+    return back.select("doc_id", F.size("ids").alias("n_ids"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
 def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_digest(ogg.probe(ogg.to_media(table(spark, sf_dir, "documents"))))
 
 
+def op10_onebit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return onebit_ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_feistel_pseudonyms": op1_feistel_pseudonyms,
+    "op2_license_join": op2_license_join,
     "op3_lattice_lm": op3_lattice_lm,
     "op4_sainte_lague_mix": op4_sainte_lague_mix,
     "op5_covering_simhash": op5_covering_simhash,
+    "op6_line_alignment": op6_line_alignment,
     "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
+    "op8_merge_dropout": op8_merge_dropout,
     "op9_ogg_media": op9_ogg_media,
+    "op10_onebit_neighbours": op10_onebit_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {}
