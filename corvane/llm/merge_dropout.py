@@ -2,9 +2,9 @@
 
 The vocabulary is a public merge-type one (pieces with ranks and byte pieces). A text becomes the space mark and the text with spaces as
 marks; characters are merged by an agenda of adjacent pairs, best rank first. A candidate taken from the agenda is skipped when its keyed hash falls
-below the dropout rate; it comes back only if a neighbour's merge makes the pair anew. The hash is keyed by seed, variant, the merged piece and its
-place in the word; a word's variant is drawn by seed, document and position from `variants` many, so the same word is cut in different ways, the same input always
-alike, and each cut is computed once a worker and kept (least recently used ones go).
+below the dropout rate; it comes back only if a neighbour's merge makes the pair anew. The hash is keyed by seed, variant, word, rank and
+place in the word; a run of 16 words has a variant drawn by seed, document and position from `variants` many, so the same word is cut in different ways, the same input always
+alike, and each cut is computed once a worker and kept (those not used lately go).
 
 Decoding joins the pieces' bytes, turns marks into spaces and drops the first: the exact text. A literal mark in a text is spelt in byte pieces, so it stays itself.
 
@@ -20,6 +20,7 @@ import heapq
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,7 +30,17 @@ from corvane.llm.common import bounded_batches, plus
 MARK = "▁"
 #: Runs of spaces with the word after them; line breaks and other white space stand alone or within words, they never merge with letters in this vocabulary.
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-_CACHE = 200_000
+#: Words in one generation of the cuts a worker keeps for all tasks of equal parameters; there are two generations.
+_KEEP = 300_000
+_KEPT: dict[tuple, list[list[dict[str, bytes]]]] = {}
+#: Words up to this length are merged many at a time.
+_SHORT = 32
+_BITS = 2**64 - 1
+_NEVER = np.int32(2**31 - 1)
+#: The order of the variants along a text: one long fixed sequence, entered at a place drawn by seed and document.
+_CYCLE = 65_521
+#: Words in a row that share a variant.
+_RUN = 16
 
 
 class Merger:
@@ -57,71 +68,188 @@ class Merger:
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 self._piece[p], self._rank[p] = i, -m.get_score(i)
                 self._bytes[i] = p.replace(MARK, " ").encode("utf-8")
-        self._cache: dict[tuple[int, str], list[int]] = {}
+        self._table = pa.array(self._bytes, pa.binary())
+        self._kept = _KEPT.setdefault((self.model_file, self.dropout, self.seed, self.variants), [[{} for _ in range(self.variants)] for _ in range(2)])
+        x, order = 1, bytearray()
+        for _ in range(_CYCLE):
+            x = (x * 17_364 + 1) % _CYCLE
+            order.append(x % self.variants)
+        self._order = bytes(order)
+        # characters and pairs as numbers, for merging many words at a time
+        self._char = np.full(0x110000, -1, np.int32)
+        pairs = []
+        for p, i in self._piece.items():
+            if len(p) == 1:
+                self._char[ord(p)] = i
+            for k in range(1, len(p)):
+                a, b = self._piece.get(p[:k]), self._piece.get(p[k:])
+                if a is not None and b is not None:
+                    pairs.append(((a << 32) + b, int(self._rank[p]), i))
+        pairs.sort()
+        self._pair, self._pair_rank, self._pair_id = (np.array(c) for c in zip(*pairs))
+        self._pair_rank, self._pair_id = self._pair_rank.astype(np.int32), self._pair_id.astype(np.int32)
 
     def encode(self, text: str | None, doc_id: int | None = 0) -> list[int]:
+        """The ids of one text."""
+        return np.frombuffer(self.encode_all([text], [doc_id])[0], np.int32).tolist()
+
+    def encode_all(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
+        """The ids of each text, as bytes of int32. Words not met lately are merged together."""
         if self._piece is None:
             self._load()
-        if not text:
-            return []
-        ids: list[int] = []
-        n, cache = self.variants, self._cache
-        at = xxhash.xxh64_intdigest(f"{self.seed}:{doc_id or 0}") % 65_521
-        for word in _WORDS.findall(" " + text):
-            at = (at * 17_364 + 1) % 65_521
-            key = (at % n, word)
-            got = cache.get(key)
-            if got is None:
-                got = self._merge(word, at % n)
-                if len(word) <= 64:
-                    if len(cache) >= _CACHE:
-                        for k in list(cache)[: _CACHE // 4]:
-                            del cache[k]
-                    cache[key] = got
-            ids += got
-        return ids
+        young, old = self._kept
+        gets, order, n = [d.get for d in young], self._order, self.variants
+        missing: list[set[str]] = [set() for _ in range(n)]
+        rows = []
+        for t, i in zip(texts, doc_ids):
+            words = _WORDS.findall(" " + t) if t else []
+            at = xxhash.xxh64_intdigest(f"{self.seed}:{i or 0}") % _CYCLE
+            runs = [order[(at + c) % _CYCLE] for c in range((len(words) + _RUN - 1) // _RUN)]
+            got: list[bytes | None] = []
+            for c, v in enumerate(runs):
+                got += map(gets[v], words[c * _RUN : (c + 1) * _RUN])
+            if None in got:
+                for k, g in enumerate(got):
+                    if g is None:
+                        missing[runs[k // _RUN]].add(words[k])
+            rows.append((words, runs, got))
+        fresh: list[dict[str, bytes]] = []
+        for v, want in enumerate(missing):
+            have = {w: cut for w in want if (cut := old[v].get(w)) is not None}
+            new = [(v, w) for w in want if w not in have]
+            have.update(zip([w for _, w in new], self._cut(new)))
+            fresh.append(have)
+        out = []
+        for words, runs, got in rows:
+            if None in got:
+                got = [fresh[runs[k // _RUN]][words[k]] if g is None else g for k, g in enumerate(got)]
+            out.append(b"".join(got))
+        if sum(map(len, young)) + sum(map(len, fresh)) > _KEEP:
+            self._kept[:] = [[{} for _ in range(n)], young]
+            young = self._kept[0]
+        for own, more in zip(young, fresh):
+            own.update((w, c) for w, c in more.items() if len(w) <= 64)
+        return out
+
+    def _cut(self, keys: list[tuple[int, str]]) -> list[bytes]:
+        """The ids of each (variant, word)."""
+        cuts: list[bytes] = [b""] * len(keys)
+        short = [k for k, (_, w) in enumerate(keys) if 1 < len(w) <= _SHORT and MARK not in w]
+        short.sort(key=lambda k: len(keys[k][1]))  # words of like length make narrow tables
+        for at in range(0, len(short), 4096):
+            part = short[at : at + 4096]
+            for k, cut in zip(part, self._together([keys[k][1] for k in part], [keys[k][0] for k in part])):
+                cuts[k] = cut
+        for k, (v, w) in enumerate(keys):
+            if not cuts[k]:
+                cuts[k] = np.array(self._merge(w, v), np.int32).tobytes()
+        return cuts
+
+    def _keyed(self, word: str, variant: int) -> int:
+        return xxhash.xxh64_intdigest(word, self.seed * 1_000_003 + variant)
+
+    def _skips(self, word: str, variant: int):
+        """The keyed decision on a candidate: by seed, variant and word, the place of its left part and its rank."""
+        cut = int(self.dropout * _BITS)
+        h = self._keyed(word, variant)
+
+        def skip(place: int, rank: float) -> bool:
+            x = (h ^ (place * 0x9E3779B97F4A7C15 + int(rank) * 0xC2B2AE3D27D4EB4F)) & _BITS
+            x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _BITS
+            return x ^ (x >> 32) < cut
+
+        return skip if cut else None
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of each merged pair; _NEVER where there is none."""
+        key = (a.astype(np.int64) << 32) + b
+        k = np.minimum(np.searchsorted(self._pair, key), len(self._pair) - 1)
+        hit = (self._pair[k] == key) & (a >= 0) & (b >= 0)
+        return np.where(hit, self._pair_rank[k], _NEVER), self._pair_id[k]
+
+    def _together(self, words: list[str], variants: list[int]) -> list[bytes]:
+        """Many short words at once, one row each: every turn takes each row's best candidate off its agenda, and skips or merges it."""
+        m, width = len(words), max(map(len, words))
+        size = np.fromiter(map(len, words), np.int64, m)
+        flat = np.frombuffer("".join(words).replace(" ", MARK).encode("utf-32-le"), np.uint32)
+        inside = np.arange(width) < size[:, None]
+        # two more columns: an end that no pair goes over, and one that takes what is written beyond the ends
+        piece = np.full((m, width + 2), -2, np.int32)
+        piece[:, :width][inside] = self._char[flat]
+        rank, made = np.full((m, width + 2), _NEVER, np.int32), np.zeros((m, width + 2), np.int32)
+        rank[:, : width - 1], made[:, : width - 1] = self._ranks(piece[:, : width - 1], piece[:, 1:width])
+        after = np.tile(np.minimum(np.arange(1, width + 3), width + 1).astype(np.int32), (m, 1))
+        after[:, :width] = np.where(np.arange(1, width + 1) < size[:, None], after[:, :width], width)
+        before = np.tile(np.arange(-1, width + 1).astype(np.int32), (m, 1))
+        before[:, 0] = width + 1
+        alive = np.zeros((m, width), bool)
+        alive[inside] = True
+        keyed = np.fromiter((self._keyed(w, v) for w, v in zip(words, variants)), np.uint64, m)
+        cut = np.uint64(int(self.dropout * _BITS))
+        rows = np.arange(m)
+        while len(rows):
+            k = rank[rows].argmin(axis=1)
+            best = rank[rows, k]
+            open_ = best < _NEVER
+            rows, k, best = rows[open_], k[open_], best[open_]
+            if cut and len(rows):
+                x = keyed[rows] ^ (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + best.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                skip = (x ^ (x >> np.uint64(32))) < cut
+                rank[rows[skip], k[skip]] = _NEVER
+                r, k = rows[~skip], k[~skip]
+            else:
+                r = rows
+            right = after[r, k]
+            beyond, left = after[r, right], before[r, k]
+            piece[r, k] = made[r, k]
+            rank[r, right] = _NEVER
+            alive[r, right] = False
+            after[r, k] = beyond
+            before[r, beyond] = k
+            rank[r, k], made[r, k] = self._ranks(piece[r, k], piece[r, beyond])
+            rank[r, left], made[r, left] = self._ranks(piece[r, left], piece[r, k])
+        ids = piece[:, :width][alive]
+        ends = np.cumsum(alive.sum(axis=1)).tolist()
+        data, spelt = ids.tobytes(), np.zeros(m, bool)
+        spelt[np.nonzero(alive & (piece[:, :width] == -1))[0]] = True
+        return [b"" if s else data[4 * a : 4 * b] for a, b, s in zip([0, *ends], ends, spelt.tolist())]
 
     def _merge(self, word: str, variant: int) -> list[int]:
-        rank, piece = self._rank, self._piece
+        """One word of any length: a heap of candidates over linked parts. A literal mark stays alone; parts that are no piece are spelt in bytes."""
+        skip = self._skips(word, variant)
+        rank_of = self._rank.get
         parts: list[str | None] = [MARK if c == " " else c for c in word]
         literal = {k for k, c in enumerate(word) if c == MARK}
         n = len(parts)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda = []
+        agenda: list[tuple[float, int, str]] = []
+
+        def propose(a: int, b: int) -> None:
+            if a >= 0 and b < n and a not in literal and b not in literal:
+                made = parts[a] + parts[b]
+                r = rank_of(made)
+                if r is not None:
+                    heapq.heappush(agenda, (r, a, made))
+
         for k in range(n - 1):
-            if k in literal or k + 1 in literal:
-                continue
-            r = rank.get(parts[k] + parts[k + 1])
-            if r is not None:
-                agenda.append((r, k, parts[k] + parts[k + 1]))
-        heapq.heapify(agenda)
-        cut = int(self.dropout * 2**64)
+            propose(k, k + 1)
         while agenda:
-            _, k, made = heapq.heappop(agenda)
+            rank, k, made = heapq.heappop(agenda)
             r = right[k]
-            if parts[k] is None or r >= n or parts[k] + parts[r] != made:
-                continue
-            if cut and xxhash.xxh64_intdigest(f"{variant}:{k}:{made}", self.seed) < cut:
+            if parts[k] is None or r >= n or parts[k] + parts[r] != made or (skip is not None and skip(k, rank)):
                 continue
             parts[k], parts[r] = made, None
             right[k] = right[r]
             if right[r] < n:
                 left[right[r]] = k
-            for a, b in ((left[k], k), (k, right[k])):
-                if a >= 0 and b < n and a not in literal and b not in literal:
-                    t = parts[a] + parts[b]
-                    q = rank.get(t)
-                    if q is not None:
-                        heapq.heappush(agenda, (q, a, t))
+            propose(left[k], k)
+            propose(k, right[k])
         out: list[int] = []
         for k, p in enumerate(parts):
-            if p is None:
-                continue
-            i = None if k in literal else piece.get(p)
-            if i is None:
-                out += [self._spell[b] for b in p.encode("utf-8", "surrogatepass")]
-            else:
-                out.append(i)
+            if p is not None:
+                i = None if k in literal else self._piece.get(p)
+                out += [self._spell[b] for b in p.encode("utf-8", "surrogatepass")] if i is None else [i]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -130,6 +258,18 @@ class Merger:
         table = self._bytes
         return b"".join([table[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
+    def decode_all(self, ids: pa.ListArray) -> list[str | None]:
+        """The texts of a column of ids: pieces' bytes are gathered for all at once and cut by text."""
+        if self._piece is None:
+            self._load()
+        ends = np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))])
+        pieces = self._table.take(ids.flatten())
+        cut = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, np.int32)
+        data = memoryview(pieces.buffers()[2]) if len(pieces) and pieces.buffers()[2] is not None else memoryview(b"")
+        valid = ids.is_valid().to_pylist()
+        at = cut[ends].tolist()
+        return [bytes(data[a:b])[1:].decode("utf-8", "surrogatepass") if ok else None for a, b, ok in zip(at, at[1:], valid)]
+
 
 def encode(docs: DataFrame, merger: Merger, out: str = "ids", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of `docs` and the piece ids in `out` (array of int)."""
@@ -138,10 +278,12 @@ def encode(docs: DataFrame, merger: Merger, out: str = "ids", doc_id: str = "doc
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                ids = [merger.encode(t, i) for t, i in zip(part.column(text).to_pylist(), part.column(doc_id).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, out])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                ids = merger.encode_all(part.column(text).to_pylist(), part.column(doc_id).to_pylist())
+                ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                flat = np.frombuffer(b"".join(ids), np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*part.schema.names, out])
 
     return rest.mapInArrow(work, _schema(rest, out, "array<int>"))
 
@@ -153,7 +295,7 @@ def decode(coded: DataFrame, merger: Merger, ids: str = "ids", out: str = "decod
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if x is None else merger.decode(x) for x in b.column(ids).to_pylist()]
+            texts = merger.decode_all(b.column(ids))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out])
 
     return rest.mapInArrow(work, plus(rest, **{out: "string"}))
