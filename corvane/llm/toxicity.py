@@ -106,8 +106,10 @@ def fit(labelled: DataFrame, *, max_rows: int = 40_000, z: float = 4.0, z_pairs:
     l1 = words.withColumn("l", _evidence(both * F.lit(t1 / (t1 + t0)), both * F.lit(t0 / (t1 + t0)), z)).where("l <> 0").select("w", "l")
     model = Model({r["w"]: r["l"] for r in l1.collect()})
 
-    couples = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("h"), F.get("w", i).alias("w"))))
-    pairs = counts(taught.where(F.size("w") > 1).select("y", F.explode(couples).alias("p")).select("y", "p.h", "p.w"), "h", "w").where(both >= least_pairs)
+    # a pair is one string (words hold no blanks): distinct strings are found by hashing, distinct structs by comparing all
+    couples = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i))))
+    both_words = F.split("p", " ")
+    pairs = counts(taught.where(F.size("w") > 1).select("y", F.explode(couples).alias("p")), "p").where(both >= least_pairs).select("n1", "n0", both_words[0].alias("h"), both_words[1].alias("w"))
     ratio = F.exp(F.coalesce("l", F.lit(0.0))) * F.lit(t1 / t0)
     seen = pairs.join(l1, "w", "left").withColumn("e1", both * ratio / (1 + ratio))
     l2 = seen.withColumn("g", _evidence(F.col("e1"), both - F.col("e1"), z_pairs)).where("g <> 0").select("h", "w", "g")
