@@ -138,7 +138,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **h
     """`docs` with `text` less its repeated blocks, and two columns: lines_dropped, words_dropped (columns of these names are replaced)."""
     rest = docs.drop("lines_dropped", "words_dropped")
     drop = materialize(repeated_lines(rest, doc_id, text, **how).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop")), "lines-drop")
-    met = rest.join(drop, rest[doc_id] == drop["_id"], "left").drop("_id")
+    # one plan at every size: texts are dealt by id once, and the positions, far smaller, are the side held in memory
+    met = rest.join(drop.hint("shuffle_hash"), rest[doc_id] == drop["_id"], "left").drop("_id")
     split = F.split(F.col(text), "\n")
     gone = F.filter(F.transform(split, lambda x, i: F.when(F.array_contains("_drop", i), x)), lambda x: x.isNotNull())
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_drop", i)), "\n")
