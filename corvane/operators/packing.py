@@ -28,10 +28,19 @@ def skipping(hits: DataFrame, budget: int, key: str, by: str = "query_id", size:
 def covering(hits: DataFrame, k: int, near: float = 0.88) -> DataFrame:
     """query_id, document_id, place: by score, but no hit whose trigrams are `near` those of one taken before; at most k.
 
-    `hits`: query_id, document_id, score, grams; a query's candidates are a bounded list.
+    `hits`: query_id, document_id, score, grams; a query's candidates are a bounded list, so their likeness is tested pair by pair first and the
+    fold goes over ranks alone.
     """
-    items = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("o"), F.col("document_id").alias("d"), F.col("grams").alias("g"))))
-    alike = lambda a, b: F.size(F.array_intersect(a, b)) >= near * F.size(F.array_union(a, b))
-    step = lambda kept, x: F.when((F.size(kept) < k) & ~F.exists(kept, lambda y: alike(x["g"], y["g"])), F.array_append(kept, x)).otherwise(kept)
-    packed = hits.groupBy("query_id").agg(items.alias("items")).select("query_id", F.aggregate("items", F.slice("items", 1, 0), step).alias("kept"))
-    return packed.select("query_id", F.posexplode("kept").alias("p", "x")).select("query_id", F.col("x.d").alias("document_id"), (F.col("p") + 1).alias("place"))
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "document_id")
+    # grams as numbers: sets of longs are compared without boxing
+    ranked = hits.select("query_id", "document_id", F.row_number().over(w).alias("r"), F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g))).alias("g"))
+    a = ranked.select("query_id", F.col("r").alias("ra"), F.col("g").alias("ga"))
+    b = ranked.select("query_id", F.col("r").alias("rb"), F.col("g").alias("gb"))
+    common = F.size(F.array_intersect("ga", "gb"))
+    alike = a.join(b, "query_id").where("ra < rb").where(common >= near * (F.size("ga") + F.size("gb") - common))
+    before = alike.groupBy("query_id", F.col("rb").alias("r")).agg(F.collect_list("ra").alias("like"))
+    listed = ranked.drop("g").join(before, ["query_id", "r"], "left").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("r", "document_id", F.coalesce("like", F.array().cast("array<int>")).alias("like")))).alias("items"))
+    step = lambda kept, x: F.when((F.size(kept) < k) & ~F.arrays_overlap(kept, x["like"]), F.array_append(kept, x["r"])).otherwise(kept)
+    kept = listed.select("query_id", F.posexplode(F.aggregate("items", F.array().cast("array<int>"), step)).alias("p", "r"))
+    return kept.join(ranked.drop("g"), ["query_id", "r"]).select("query_id", "document_id", (F.col("p") + 1).alias("place"))
