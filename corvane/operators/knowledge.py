@@ -16,7 +16,7 @@ def merged_nodes(parts: DataFrame) -> DataFrame:
 def grouped_candidates(candidates: DataFrame) -> DataFrame:
     """By type and case-folded name: the most confident, earliest candidate speaks for its group."""
     return candidates.groupBy("kind", F.lower("name").alias("name_key")).agg(
-        F.max_by("candidate_id", F.struct("confidence", -F.col("start"))).alias("representative"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("members"))
+        F.max_by("candidate_id", F.struct("confidence", -F.col("start"), -F.col("doc_id"))).alias("representative"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("members"))
 
 
 def best_mentions(mentions: DataFrame) -> DataFrame:
