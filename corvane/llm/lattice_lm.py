@@ -9,9 +9,10 @@ Weights start from the vocabulary's own scores. The public vocabulary's scores a
 (expected piece counts from the forward-backward recursion, one pseudo-count shared by the initial weights).
 Characters without a piece are spelt with the vocabulary's byte pieces, so every text has a probability.
 
-Dataflow: every Arrow batch of texts becomes a block that lists its distinct words with their occurrences by document. Only blocks' distinct
-words are shuffled: once to sum the training counts, once to fetch each word's count and probability, once back to the block. A word that
-every text holds is one row a block, so no key is hot. Vocabulary and counts stay distributed; only the piece weights (as many as the vocabulary
+Dataflow: a task's texts are put together to blocks, each with a list of its distinct words and, apart, one row of who uses which how often. Only blocks'
+distinct words are shuffled: once to sum the training counts, once to fetch each word's count and probability, once back to the block. A word that
+every text holds is one row a block, so no key is hot. A block is a run of rows of one input partition,
+written once with its number to the shared folder. Vocabulary and counts stay distributed; only the piece weights (as many as the vocabulary
 has pieces) reach driver and workers.
 
 Nulls: a null text is the empty text (one end); a null id is in no fold, so it trains. Repeated rows are scored and counted
@@ -27,15 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_batches, materialize
+from corvane.llm.common import BATCH_ROWS, bounded_batches, materialize
 
 #: The end of a text, as a token no word can equal.
 END = "\n"
 MARK = "▁"
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 5_000_000
 
 
 class Lattice:
@@ -43,7 +45,8 @@ class Lattice:
 
     def __init__(self, logp: dict[str, float], byte_logp: list[float], end_logp: float):
         self.logp, self.byte_logp, self.end_logp = logp, byte_logp, end_logp
-        self.longest = max(map(len, logp), default=1)
+        # pieces with their (negative) log weight, and 0 for what only begins pieces
+        self.begins = {p[:k]: 0.0 for p in logp for k in range(1, len(p))} | logp
 
     @classmethod
     def load(cls, model_file: str) -> Lattice:
@@ -65,61 +68,67 @@ class Lattice:
         whole = total + spare
         return cls({p: math.log(x / whole) for p, x in w.items()}, [math.log(spare / 257 / whole)] * 256, math.log(spare / 257 / whole))
 
-    def word(self, word: str) -> str:
-        return MARK + word
-
-    def forward(self, s: str) -> list[float]:
-        """alpha[j]: log of the summed probability of all segmentations of s[:j]."""
-        logp, longest, n = self.logp, self.longest, len(s)
-        alpha = [0.0] * (n + 1)
+    def edges(self, s: str) -> list[list[tuple[int, float]]]:
+        """For each place j the lattice's edges that end there, as (start, log weight). A start is left as soon as no piece goes on."""
+        get, n = self.begins.get, len(s)
+        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        for i in range(n):
+            j = i + 1
+            while j <= n:
+                p = get(s[i:j])
+                if p is None:
+                    break
+                if p < 0.0:
+                    ends[j].append((i, p))
+                j += 1
+            if s[i] not in self.logp:
+                ends[i + 1].append((i, self.spelt(s[i])))
+        return ends
+
+    def forward(self, ends: list[list[tuple[int, float]]]) -> list[float]:
+        """alpha[j]: log of the summed probability of all segmentations of the first j characters."""
+        alpha = [0.0]
         exp, log = math.exp, math.log
-        for j in range(1, n + 1):
-            terms = []
-            for i in range(max(0, j - longest), j):
-                p = logp.get(s[i:j])
-                if p is not None:
-                    terms.append(alpha[i] + p)
-            if s[j - 1] not in logp:
-                terms.append(alpha[j - 1] + self.spelt(s[j - 1]))
-            if len(terms) == 1:
-                alpha[j] = terms[0]
+        for edges in ends[1:]:
+            if len(edges) == 1:
+                i, p = edges[0]
+                alpha.append(alpha[i] + p)
             else:
+                terms = [alpha[i] + p for i, p in edges]
                 top = max(terms)
-                alpha[j] = top + log(sum([exp(t - top) for t in terms]))
+                alpha.append(top + log(sum([exp(t - top) for t in terms])))
         return alpha
 
     def spelt(self, char: str) -> float:
         return sum(self.byte_logp[b] for b in char.encode("utf-8", "surrogatepass"))
 
     def log_probability(self, word: str) -> float:
-        return self.forward(MARK + word)[-1]
+        return self.forward(self.edges(MARK + word))[-1]
 
     def expect(self, word: str, count: float, into: dict[str, float]) -> None:
-        """Add the expected number of uses of each piece in `count` occurrences of the word."""
+        """Add the expected number of uses of each piece in `count` occurrences of the word.
+
+        Going back from the end, an edge's share of its end's uses is its term over the end's sum.
+        """
         s = MARK + word
-        logp, longest, n = self.logp, self.longest, len(s)
-        alpha = self.forward(s)
-        beta = [0.0] * (n + 1)
-        exp, log, whole = math.exp, math.log, alpha[n]
-        for i in range(n - 1, -1, -1):
-            terms = []
-            for j in range(i + 1, min(n, i + longest) + 1):
-                p = logp.get(s[i:j])
-                if p is not None:
-                    t = p + beta[j]
-                    terms.append(t)
-                    into[s[i:j]] += count * exp(alpha[i] + t - whole)
-            if s[i] not in logp:
-                t = self.spelt(s[i]) + beta[i + 1]
-                terms.append(t)
-                share = count * exp(alpha[i] + t - whole)
-                for b in s[i].encode("utf-8", "surrogatepass"):
-                    into[f"<{b}>"] += share
-            if len(terms) == 1:
-                beta[i] = terms[0]
-            elif terms:
-                top = max(terms)
-                beta[i] = top + log(sum([exp(t - top) for t in terms]))
+        ends = self.edges(s)
+        alpha = self.forward(ends)
+        exp = math.exp
+        uses = [0.0] * len(alpha)
+        uses[-1] = count
+        for j in range(len(alpha) - 1, 0, -1):
+            u, edges = uses[j], ends[j]
+            if u <= 0.0:
+                continue
+            for i, p in edges:
+                share = u if len(edges) == 1 else u * exp(alpha[i] + p - alpha[j])
+                uses[i] += share
+                piece = s[i:j]
+                if piece in self.logp:
+                    into[piece] += share
+                else:
+                    for b in piece.encode("utf-8", "surrogatepass"):
+                        into[f"<{b}>"] += share
 
     def reestimated(self, expected: dict[str, float], ends: float, pseudo: float = 1000.0) -> Lattice:
         """New weights: expected counts plus `pseudo` counts shared by the present weights."""
@@ -131,59 +140,81 @@ class Lattice:
         )
 
 
-BLOCKS = "block long, token string, trained long, uses binary, ids array<long>, held array<boolean>"
+BLOCK_DOCS = 16_384
+ROWS = "block long, token string, place int, trained long, ids array<long>, held array<boolean>, sizes binary, uses binary"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Arrow batches (doc_id, text, held_out) put together to blocks of at most BLOCK_DOCS rows and, but for one batch, BLOCK_CHARS characters."""
+    from pyspark import TaskContext
+
+    no, size, rows, parts = TaskContext.get().partitionId() << 32, 0, 0, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        parts.append(b)
+        size += b.column(1).nbytes
+        rows += b.num_rows
+        if size >= BLOCK_CHARS or rows + BATCH_ROWS > BLOCK_DOCS:
+            yield no, pa.Table.from_batches(parts)
+            no, size, rows, parts = no + 1, 0, 0, []
+    if parts:
+        yield no, pa.Table.from_batches(parts)
+
+
+def _uses(block: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct tokens, and by token then document (token's place, document's place, number of uses)."""
+    texts = block.column(1).combine_chunks().fill_null("")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    n = block.num_rows
+    coded = split.flatten().dictionary_encode()
+    tokens = coded.dictionary.to_pylist()
+    # text that begins or ends with white space yields an empty piece there, which stands for the end instead: one a document
+    code, doc = coded.indices.to_numpy(zero_copy_only=False), pc.list_parent_indices(split).to_numpy(zero_copy_only=False)
+    if "" in tokens:
+        full = code != tokens.index("")
+        code, doc = code[full], doc[full]
+        tokens[tokens.index("")], end = END, tokens.index("")
+    else:
+        end = len(tokens)
+        tokens.append(END)
+    key = np.concatenate([code.astype(np.int64) * n + doc, end * n + np.arange(n)])
+    del code, doc, coded, split
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times = np.diff(np.append(first, len(key)))
+    key = key[first]
+    return pa.array(tokens, pa.string()), key // n, key % n, times
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """`docs` (doc_id, text, held_out) as blocks: per block and distinct token its training count and `uses`, pairs (document's place, count) of
-    int32; the row of the END token also lists the block's ids and folds."""
-    bounded_batches(docs.sparkSession)
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_())]
-    names = [x.split()[0] for x in BLOCKS.split(", ")]
-
-    def block(no: int, ids: list, held: list[bool], texts: list[str | None]) -> Iterator[pa.RecordBatch]:
-        where: dict[bytes, list[int]] = defaultdict(list)
-        trained: dict[bytes, int] = defaultdict(int)
-        for k, (t, h) in enumerate(zip(texts, held)):
-            own: dict[bytes, int] = {}
-            for w in (t or "").encode("utf-8", "surrogatepass").lower().split():
-                own[w] = own.get(w, 0) + 1
-            own[b"\n"] = 1
-            for w, c in own.items():
-                where[w] += (k, c)
-            if not h:
-                for w, c in own.items():
-                    trained[w] += c
-        rows = list(where)
-        for at in range(0, len(rows), 20_000):
-            part = rows[at : at + 20_000]
-            cols = [
-                [no] * len(part), [w.decode("utf-8", "replace") for w in part], [trained.get(w, 0) for w in part], [np.array(where[w], np.int32).tobytes() for w in part],
-                [ids if w == b"\n" else None for w in part], [held if w == b"\n" else None for w in part],
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+    """`docs` (doc_id, text, held_out) as blocks, in two kinds of rows.
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        no = TaskContext.get().partitionId() << 32
-        ids: list = []
-        held: list[bool] = []
-        texts: list[str | None] = []
-        size = 0
-        for b in batches:
-            for i, t, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                ids.append(i)
-                texts.append(t)
-                held.append(bool(h))
-                size += len(t or "")
-                if size >= BLOCK_CHARS or len(ids) >= 4096:
-                    yield from block(no, ids, held, texts)
-                    no, size, ids, held, texts = no + 1, 0, [], [], []
-        if ids:
-            yield from block(no, ids, held, texts)
+    With a token: the block's distinct tokens, their place in the block's list, and their uses in training rows. Without: the block's ids and folds, for
+    each token in the list's order the number of its (document, uses) pairs, and the pairs as 16-bit numbers.
+    """
+    kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+    names = [x.split()[0] for x in ROWS.split(", ")]
 
-    return docs.select("doc_id", "text", "held_out").mapInArrow(make, BLOCKS)
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for no, block in _read(batches):
+            tokens, place, doc, times = _uses(block)
+            held = block.column(2).combine_chunks().fill_null(False)
+            open_ = ~held.to_numpy(zero_copy_only=False)
+            trained = np.bincount(place, times * open_[doc], len(tokens)).astype(np.int64)
+            for at in range(0, len(tokens), 50_000):
+                n = min(50_000, len(tokens) - at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, no)), tokens.slice(at, n), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(trained[at : at + n]), *[pa.nulls(n, k) for k in kinds[4:]]], names)
+            while (over := times > 65_535).any():  # a pair holds 16 bits: more uses are more pairs
+                place, doc = np.concatenate([place, place[over]]), np.concatenate([doc, doc[over]])
+                times = np.concatenate([np.where(over, 65_535, times), times[over] - 65_535])
+            order = np.argsort(place, kind="stable")
+            pairs = np.stack([doc[order], times[order]], axis=1).astype(np.uint16)
+            sizes = np.bincount(place, minlength=len(tokens)).astype(np.int32)
+            row = [no, None, None, None, block.column(0).to_pylist(), held.to_pylist(), sizes.tobytes(), pairs.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], names)
+
+    return docs.mapInArrow(make, ROWS)
 
 
 def score(docs: DataFrame, model_file: str, em_steps: int = 1) -> DataFrame:
@@ -191,7 +222,9 @@ def score(docs: DataFrame, model_file: str, em_steps: int = 1) -> DataFrame:
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens (long), base_score (additively smoothed word unigrams) and score (the lattice's), log10.
     """
-    dealt = materialize(blocks(docs), "lm-blocks")
+    bounded_batches(docs.sparkSession)
+    made = materialize(blocks(docs.select("doc_id", "text", "held_out")), "lm-blocks")
+    dealt, users = made.where("token IS NOT NULL").select("block", "token", "place", "trained"), made.where("token IS NULL").select(F.col("block").alias("own"), "ids", "held", "sizes", "uses")
     counts = materialize(dealt.groupBy("token").agg(F.sum("trained").alias("c")), "lm-counts")
     facts = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("token") == END, F.col("c"))), F.lit(0)).alias("ends")).first()
     n, v, ends = int(facts["n"]), int(facts["v"]), int(facts["ends"])
@@ -199,26 +232,27 @@ def score(docs: DataFrame, model_file: str, em_steps: int = 1) -> DataFrame:
     for _ in range(em_steps if n else 0):
         lattice = lattice.reestimated(_expected(counts.where("c > 0"), lattice), ends)
     rated = _rated(counts, lattice)
-    met = dealt.select("block", "token", "uses", "ids", "held").join(rated, "token").select("block", "uses", "ids", "held", "c", "logp")
+    met = dealt.select("block", "token", "place").join(rated, "token").select("block", "place", "c", "logp")
     # a training vocabulary of zero tokens: (c+1)/(0+1*(0+1)) = 1, log 0
     smooth = math.log10(n + v + 1)
-    made = met.groupBy("block").applyInPandas(lambda pdf: _fold(pdf, smooth), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    found = users.groupBy("own").cogroup(met.groupBy("block")).applyInPandas(lambda block, words: _fold(block, words, smooth), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _fold(pdf: pd.DataFrame, smooth: float) -> pd.DataFrame:
+def _fold(block: pd.DataFrame, words: pd.DataFrame, smooth: float) -> pd.DataFrame:
     """Sum a block's tokens by document."""
-    head = pdf[pdf["ids"].notna()].iloc[0]
+    head = block.iloc[0]
     ids = list(head["ids"])
-    sizes = np.fromiter((len(u) // 8 for u in pdf["uses"]), np.int64, len(pdf))
-    uses = np.frombuffer(b"".join(pdf["uses"]), np.int32).reshape(-1, 2)
-    doc, times = uses[:, 0], uses[:, 1].astype(np.float64)
-    c = np.repeat(pdf["c"].to_numpy(np.float64), sizes)
-    logp = np.repeat(pdf["logp"].to_numpy(np.float64), sizes)
-    total = lambda x: np.bincount(doc, x, len(ids))
+    place = words["place"].to_numpy()
+    c, logp = np.empty(len(words)), np.empty(len(words))
+    c[place], logp[place] = words["c"].to_numpy(np.float64), words["logp"].to_numpy(np.float64)
+    sizes = np.frombuffer(head["sizes"], np.int32)
+    pairs = np.frombuffer(head["uses"], np.uint16).reshape(-1, 2)
+    doc, times = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.float64)
+    total = lambda x: np.bincount(doc, times * np.repeat(x, sizes), len(ids))
     return pd.DataFrame({
-        "doc_id": pd.array([None if i is None or i != i else int(i) for i in ids], dtype="Int64"), "held_out": list(head["held"]), "n_tokens": total(times).astype(np.int64), "n_known": total(times * (c > 0)).astype(np.int64),
-        "base_score": total(times * (np.log10(c + 1) - smooth)), "score": total(times * logp) / math.log(10),
+        "doc_id": pd.array([None if i is None or i != i else int(i) for i in ids], dtype="Int64"), "held_out": list(head["held"]), "n_tokens": total(np.ones(len(c))).astype(np.int64), "n_known": total((c > 0).astype(np.float64)).astype(np.int64),
+        "base_score": total(np.log10(c + 1) - smooth), "score": total(logp) / math.log(10),
     })
 
 
