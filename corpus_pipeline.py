@@ -21,7 +21,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5 stay, by models of the labelled ones among `docs`."""
     model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.with_scores(docs, model, "_toxic").where(F.col("_toxic") < 0.5).drop("_toxic")
+    return toxicity.with_scores(docs, model, "__cv_toxic").where(F.col("__cv_toxic") < 0.5).drop("__cv_toxic")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,15 +43,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a row for each time a text is taken whole, and one for the part of it that a run of blocks takes besides."""
     seed = 7
     plan = mixing.mix(docs, seed=seed).where("taken > 0").dropDuplicates(["doc_id", "spot"])
-    plan = materialize(plan.select(F.col("doc_id").alias("_id"), F.col("spot").alias("_spot"), "laps", "size", "first", "last", "wrap"), "pipeline-mix")
+    plan = materialize(plan.select(F.col("doc_id").alias("__cv_id"), F.col("spot").alias("__cv_spot"), "laps", "size", "first", "last", "wrap"), "pipeline-mix")
     spot = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    met = docs.withColumn("_at", spot).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_spot")))
+    met = docs.withColumn("__cv_at", spot).join(plan, F.col("doc_id").eqNullSafe(F.col("__cv_id")) & (F.col("__cv_at") == F.col("__cv_spot")))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     part = lambda a, b: F.when(b > a, F.when((a == 0) & (b == F.col("size")), F.col("text")).otherwise(F.array_join(F.slice(words, (a + 1).cast("int"), (b - a).cast("int")), "")))
     pieces = F.concat(F.array_repeat("text", F.col("laps").cast("int")), F.array(part(F.lit(0), F.col("wrap")), part(F.col("first"), F.col("last"))))
-    out = met.withColumn("_piece", F.explode(F.filter(pieces, lambda x: x.isNotNull())))
-    length = F.when(F.col("_piece") == F.col("text"), F.col("n_chars")).otherwise(F.length("_piece").cast("long"))
-    return out.select(*[(F.col("_piece").alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
+    out = met.withColumn("__cv_piece", F.explode(F.filter(pieces, lambda x: x.isNotNull())))
+    length = F.when(F.col("__cv_piece") == F.col("text"), F.col("n_chars")).otherwise(F.length("__cv_piece").cast("long"))
+    return out.select(*[(F.col("__cv_piece").alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

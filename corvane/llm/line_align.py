@@ -137,15 +137,15 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
     """`docs` with `text` less its repeated blocks, and two columns: lines_dropped, words_dropped (columns of these names are replaced)."""
     rest = docs.drop("lines_dropped", "words_dropped")
-    drop = materialize(repeated_lines(rest, doc_id, text, **how).select(F.col("doc_id").alias("_id"), F.col("drop").alias("_drop")), "lines-drop")
+    drop = materialize(repeated_lines(rest, doc_id, text, **how).select(F.col("doc_id").alias("__cv_id"), F.col("drop").alias("__cv_drop")), "lines-drop")
     # one plan at every size: texts are dealt by id once, and the positions, far smaller, are the side held in memory
-    met = rest.join(drop.hint("shuffle_hash"), rest[doc_id] == drop["_id"], "left").drop("_id")
+    met = rest.join(drop.hint("shuffle_hash"), rest[doc_id] == drop["__cv_id"], "left").drop("__cv_id")
     split = F.split(F.col(text), "\n")
-    gone = F.filter(F.transform(split, lambda x, i: F.when(F.array_contains("_drop", i), x)), lambda x: x.isNotNull())
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_drop", i)), "\n")
+    gone = F.filter(F.transform(split, lambda x, i: F.when(F.array_contains("__cv_drop", i), x)), lambda x: x.isNotNull())
+    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__cv_drop", i)), "\n")
     words = F.aggregate(gone, F.lit(0), lambda n, x: n + F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), r"\s+"))))
-    cut = F.col("_drop").isNotNull() & F.col(text).isNotNull()
+    cut = F.col("__cv_drop").isNotNull() & F.col(text).isNotNull()
     return met.select(
         *[(F.when(cut, kept).otherwise(F.col(text)).alias(text) if c == text else F.col(c)) for c in rest.columns],
-        F.when(cut, F.size("_drop")).otherwise(0).alias("lines_dropped"), F.when(cut, words).otherwise(0).alias("words_dropped"),
+        F.when(cut, F.size("__cv_drop")).otherwise(0).alias("lines_dropped"), F.when(cut, words).otherwise(0).alias("words_dropped"),
     )

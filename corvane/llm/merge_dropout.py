@@ -85,9 +85,25 @@ class Merger:
                 a, b = self._piece.get(p[:k]), self._piece.get(p[k:])
                 if a is not None and b is not None:
                     pairs.append(((a << 32) + b, int(self._rank[p]), i))
-        pairs.sort()
-        self._pair, self._pair_rank, self._pair_id = (np.array(c) for c in zip(*pairs))
-        self._pair_rank, self._pair_id = self._pair_rank.astype(np.int32), self._pair_id.astype(np.int32)
+        self._pairs(*(np.array(c, np.int64) for c in zip(*pairs)))
+
+    def _pairs(self, key: np.ndarray, rank: np.ndarray, piece: np.ndarray) -> None:
+        """A hash table of the pairs that merge: open addressing, at most a quarter full; `_reach` is its longest run of tries."""
+        bits = int(len(key) * 4).bit_length()
+        self._shift, self._slots = np.uint64(64 - bits), (1 << bits) - 1
+        size = self._slots + 1
+        self._pair, self._pair_rank, self._pair_id = np.full(size, -1, np.int64), np.full(size, _NEVER, np.int32), np.zeros(size, np.int32)
+        at, left, self._reach = self._slot(key), np.arange(len(key)), 0
+        while len(left):
+            spot = (at[left] + self._reach) & self._slots
+            free = self._pair[spot] == -1
+            self._pair[spot[free]] = key[left[free]]
+            won = self._pair[spot] == key[left]
+            self._pair_rank[spot[won]], self._pair_id[spot[won]] = rank[left[won]], piece[left[won]]
+            left, self._reach = left[~won], self._reach + 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
 
     def encode(self, text: str | None, doc_id: int | None = 0) -> list[int]:
         """The ids of one text."""
@@ -108,11 +124,10 @@ class Merger:
             got: list[bytes | None] = []
             for c, v in enumerate(runs):
                 got += map(gets[v], words[c * _RUN : (c + 1) * _RUN])
-            if None in got:
-                for k, g in enumerate(got):
-                    if g is None:
-                        missing[runs[k // _RUN]].add(words[k])
-            rows.append((words, runs, got))
+            gaps = [k for k, g in enumerate(got) if g is None]
+            for k in gaps:
+                missing[runs[k // _RUN]].add(words[k])
+            rows.append((words, runs, got, gaps))
         fresh: list[dict[str, bytes]] = []
         for v, want in enumerate(missing):
             have = {w: cut for w in want if (cut := old[v].get(w)) is not None}
@@ -120,15 +135,17 @@ class Merger:
             have.update(zip([w for _, w in new], self._cut(new)))
             fresh.append(have)
         out = []
-        for words, runs, got in rows:
-            if None in got:
-                got = [fresh[runs[k // _RUN]][words[k]] if g is None else g for k, g in enumerate(got)]
+        for words, runs, got, gaps in rows:
+            for k in gaps:
+                got[k] = fresh[runs[k // _RUN]][words[k]]
             out.append(b"".join(got))
         if sum(map(len, young)) + sum(map(len, fresh)) > _KEEP:
             self._kept[:] = [[{} for _ in range(n)], young]
             young = self._kept[0]
         for own, more in zip(young, fresh):
-            own.update((w, c) for w, c in more.items() if len(w) <= 64)
+            for w in [w for w in more if len(w) > 64]:
+                del more[w]
+            own.update(more)
         return out
 
     def _cut(self, keys: list[tuple[int, str]]) -> list[bytes]:
@@ -145,12 +162,17 @@ class Merger:
                 cuts[k] = np.array(self._merge(w, v), np.int32).tobytes()
         return cuts
 
+    @property
+    def _cutoff(self) -> int:
+        """Hashes below it skip; with dropout 1 none is left out."""
+        return min(int(self.dropout * 2**64), _BITS)
+
     def _keyed(self, word: str, variant: int) -> int:
         return xxhash.xxh64_intdigest(word, self.seed * 1_000_003 + variant)
 
     def _skips(self, word: str, variant: int):
         """The keyed decision on a candidate: by seed, variant and word, the place of its left part and its rank."""
-        cut = int(self.dropout * _BITS)
+        cut = self._cutoff
         h = self._keyed(word, variant)
 
         def skip(place: int, rank: float) -> bool:
@@ -163,8 +185,15 @@ class Merger:
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each merged pair; _NEVER where there is none."""
         key = (a.astype(np.int64) << 32) + b
-        k = np.minimum(np.searchsorted(self._pair, key), len(self._pair) - 1)
-        hit = (self._pair[k] == key) & (a >= 0) & (b >= 0)
+        key[(a < 0) | (b < 0)] = -2
+        k = self._slot(key)
+        for _ in range(self._reach):
+            on = self._pair[k] != key
+            on &= self._pair[k] != -1
+            if not on.any():
+                break
+            k[on] = (k[on] + 1) & self._slots
+        hit = self._pair[k] == key
         return np.where(hit, self._pair_rank[k], _NEVER), self._pair_id[k]
 
     def _together(self, words: list[str], variants: list[int]) -> list[bytes]:
@@ -185,7 +214,7 @@ class Merger:
         alive = np.zeros((m, width), bool)
         alive[inside] = True
         keyed = np.fromiter((self._keyed(w, v) for w, v in zip(words, variants)), np.uint64, m)
-        cut = np.uint64(int(self.dropout * _BITS))
+        cut = np.uint64(self._cutoff)
         rows = np.arange(m)
         while len(rows):
             k = rank[rows].argmin(axis=1)

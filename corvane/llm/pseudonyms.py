@@ -178,10 +178,10 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", *, decrypt: bool
     With `decrypt` and the same key the rewritten values are turned back.
     """
     rest = docs.drop("n_values", "kinds")
-    found = rest.withColumn("_some", F.expr(f"if({_name(text)} RLIKE {_sql(HINT)}, regexp_extract_all({_name(text)}, {_sql(ANY)}, 0), CAST(array() AS ARRAY<STRING>))"))
-    found = found.withColumn("_new", F.expr(f"transform(_some, m -> {_replacement('m', key, decrypt)})"))
-    joined = f"if(size(_new) = 0, {_name(text)}, array_join(zip_with(split({_name(text)}, {_sql(ANY)}, -1), _new, (g, e) -> concat(g, coalesce(e.value, ''))), ''))"
-    kinds = "filter(transform(_new, e -> e.kind), e -> e IS NOT NULL)"
+    found = rest.withColumn("__cv_some", F.expr(f"if({_name(text)} RLIKE {_sql(HINT)}, regexp_extract_all({_name(text)}, {_sql(ANY)}, 0), CAST(array() AS ARRAY<STRING>))"))
+    found = found.withColumn("__cv_new", F.expr(f"transform(__cv_some, m -> {_replacement('m', key, decrypt)})"))
+    joined = f"if(size(__cv_new) = 0, {_name(text)}, array_join(zip_with(split({_name(text)}, {_sql(ANY)}, -1), __cv_new, (g, e) -> concat(g, coalesce(e.value, ''))), ''))"
+    kinds = "filter(transform(__cv_new, e -> e.kind), e -> e IS NOT NULL)"
     return found.select(
         *[F.expr(joined).alias(text) if c == text else F.col(_name(c)) for c in rest.columns],
         F.expr(f"coalesce(size({kinds}), 0)").alias("n_values"), F.expr(f"coalesce(array_join(array_sort(array_distinct({kinds})), ','), '')").alias("kinds"),
