@@ -104,7 +104,9 @@ def _nearest(queries: pd.DataFrame, rows: pd.DataFrame, codec: Codec, k: int, e:
                 done, take = done + len(some), take * 2
                 some = some[ids[some] != me]
                 away = x[some] - q[qi]
-                dist, who = np.concatenate([best_d, np.sqrt((away * away).sum(axis=1))]), np.concatenate([best_i, ids[some]])
+                # squares are added from the first place to the last, so the distance doesn't depend on how many rows are summed together
+                far = np.sqrt(np.add.accumulate(away * away, axis=1)[:, -1])
+                dist, who = np.concatenate([best_d, far]), np.concatenate([best_i, ids[some]])
                 keep = np.lexsort((who, dist))[:k]
                 best_d, best_i = dist[keep], who[keep]
             out.append(pd.DataFrame({"query_id": me, "vec_id": best_i, "score": best_d}))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+    return licences.scan(table(spark, sf_dir, "documents"), threshold=0.8).withColumn("n_matches", F.size("matches").cast("long")).drop("matches")
 
 
 def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,4 +84,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_onebit_neighbours": op10_onebit_neighbours,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _license_sql() -> str:
+    """The same containment and phrases in SQL: every block against every template."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows = []
+    for k, (label, text) in enumerate(licences.TEMPLATES):
+        own = sorted(set(licences.words_of(text)))
+        rows.append(f"({k}, '{label}', [{', '.join(repr(w) for w in own)}], {max(1, math.ceil(0.8 * len(own) - 1e-9))})")
+    places = []
+    for phrase, label in licences.PHRASES.items():
+        test = " AND ".join(f"w[i + {n}] = '{w}'" for n, w in enumerate(phrase.split(), 1))
+        places.append(f"SELECT doc_id, unnest(list_filter(range(0, len(w)), lambda i: {test})) AS p, '{label}' AS label FROM w")
+    b, step = licences.BLOCK, licences.STEP
+    return f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS w FROM d),
+ pl AS ({' UNION ALL '.join(places)}), base AS (SELECT doc_id, count(*) AS n, min(p) AS first, max(p) AS last, list(DISTINCT label) AS ls FROM pl GROUP BY doc_id),
+ ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d), lw AS (SELECT doc_id, regexp_extract_all(line, '{word}') AS v FROM ln),
+ bl AS (SELECT doc_id, v AS b FROM lw WHERE len(v) BETWEEN 1 AND {b} UNION ALL SELECT doc_id, v[k + 1:k + {b}] FROM (SELECT doc_id, v, unnest(range(0, len(v) - {b - step}, {step})) AS k FROM lw WHERE len(v) > {b})),
+ te(k, label, tw, need) AS (VALUES {', '.join(rows)}), hit AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), tw))::DOUBLE / len(tw) AS share FROM bl, te WHERE len(list_intersect(list_distinct(b), tw)) >= need),
+ met AS (SELECT doc_id, count(*) AS n, max(share) AS share, list(DISTINCT label) AS ls FROM hit GROUP BY doc_id)
+ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(base.n, 0) AS n_base, base.first AS first_word, base.last AS last_word, coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(met.ls, [])))), ',') AS labels, greatest(CASE WHEN base.n > 0 THEN 1.0 ELSE 0.0 END, coalesce(met.share, 0.0))::DOUBLE AS score, coalesce(met.n, 0) AS n_matches
+ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN met USING (doc_id)"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_join": _license_sql(),
+    "op10_onebit_neighbours": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ d AS (SELECT q.vec_id AS query_id, r.vec_id, list_distance(q.v, r.v) AS score FROM v q JOIN v r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)
+ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM d QUALIFY rank <= 10""",
+}
