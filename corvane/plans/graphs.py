@@ -214,7 +214,7 @@ query(f"""WITH RECURSIVE {BM25}, t AS (SELECT query_id, doc_id, score, row_numbe
 
 SAG = f"""WITH {RARE}, qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7), cosn AS (SELECT d.doc_id, round(greatest(0.0, list_dot_product(e.embedding::DOUBLE[], q)), 6) AS event_score FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % 500, qv),
  seed AS (SELECT doc_id FROM cosn ORDER BY event_score DESC, doc_id LIMIT 24), near AS (SELECT DISTINCT doc_id FROM mem WHERE entity IN (SELECT entity FROM mem WHERE doc_id IN (SELECT doc_id FROM seed)) AND doc_id NOT IN (SELECT doc_id FROM seed)),
- reach AS (SELECT doc_id, 0 AS hop FROM seed UNION ALL SELECT doc_id, 1 FROM near), sc AS (SELECT doc_id, hop, round(0.42 * event_score + CASE WHEN hop > 0 THEN 0.12 * pow(0.75, hop - 1) ELSE 0 END, 6) AS score FROM reach JOIN cosn USING (doc_id))
+ reach AS (SELECT doc_id, 0 AS hop FROM seed UNION ALL SELECT doc_id, 1 FROM near), sc AS (SELECT doc_id, hop, round(0.42 * event_score + CASE WHEN hop > 0 THEN 0.12 * pow(0.75, hop - 1) ELSE 0 END, 8) AS score FROM reach JOIN cosn USING (doc_id))
  SELECT doc_id, hop, score FROM sc ORDER BY score DESC, doc_id LIMIT 80"""
 
 
@@ -228,4 +228,4 @@ def sag_route(spark, sf_dir):
     seeds = s.orderBy(F.desc("event_score"), "doc_id").limit(24).select("doc_id")
     reach = graph.hyperedges(members(spark, sf_dir), seeds, 1)
     bonus = F.when(F.col("hop") > 0, 0.12 * F.pow(F.lit(0.75), F.col("hop") - 1)).otherwise(0.0)
-    return reach.join(s, "doc_id").select("doc_id", "hop", F.round(0.42 * F.col("event_score") + bonus, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(80)
+    return reach.join(s, "doc_id").select("doc_id", "hop", F.round(0.42 * F.col("event_score") + bonus, 8).alias("score")).orderBy(F.desc("score"), "doc_id").limit(80)

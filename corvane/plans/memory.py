@@ -16,7 +16,7 @@ VALID, KNOWN = "2024-01-20 00:00:00", "2024-01-21 00:00:00"
 REL = f"""{ASSERTIONS}, prev AS (SELECT *, lag(assertion_id) OVER (PARTITION BY subject_id, predicate ORDER BY valid_from, assertion_id) AS target_assertion_id FROM asr),
  rel AS (SELECT assertion_id AS relation_id, target_assertion_id, CASE assertion_id % 5 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'corrects' WHEN 2 THEN 'retracts' WHEN 3 THEN 'contradicts' ELSE 'reinforces' END AS relation_type,
   valid_from AS effective_at, recorded_at FROM prev WHERE target_assertion_id IS NOT NULL)"""
-KIND = F.element_at(F.array(*[F.lit(k) for k in ("supersedes", "corrects", "retracts", "contradicts", "reinforces")]), (F.col("relation_id") % 5 + 1).cast("int"))
+KINDS = ("supersedes", "corrects", "retracts", "contradicts", "reinforces")
 
 
 def times(spark, sf_dir) -> tuple[str, str]:
@@ -38,7 +38,7 @@ STATE = f"""WITH {REL}, {MID}, seen AS (SELECT a.* FROM asr a, tm WHERE a.record
 
 
 def relations(spark, sf_dir) -> DataFrame:
-    return temporal.succession(model.assertions(spark, sf_dir), ["subject_id", "predicate"]).withColumn("relation_type", KIND)
+    return temporal.succession(model.assertions(spark, sf_dir), ["subject_id", "predicate"]).withColumn("relation_type", F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("relation_id") % 5 + 1).cast("int")))
 
 
 def states(spark, sf_dir) -> DataFrame:

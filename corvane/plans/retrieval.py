@@ -210,7 +210,7 @@ def entity_matrix_top(spark, sf_dir):
 
 HYBRID = f"""WITH {BM25}, dv AS (SELECT a.doc_id, e.embedding::DOUBLE[] AS v FROM auth a JOIN embeddings e ON e.vec_id = a.doc_id % 500), qv AS (SELECT b.item_id AS query_id, e.embedding::DOUBLE[] AS q FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id + 100),
  den AS (SELECT query_id, doc_id, round(greatest(0.0, list_dot_product(v, q)), 6) AS dense FROM dv, qv),
- hyb AS (SELECT query_id, doc_id, coalesce(s.score, 0) AS lexical, dense, round(0.5 * coalesce(s.score, 0) + 0.5 * dense, 6) AS score FROM den LEFT JOIN scored s USING (query_id, doc_id))"""
+ hyb AS (SELECT query_id, doc_id, coalesce(s.score, 0) AS lexical, dense, round(0.5 * coalesce(s.score, 0) + 0.5 * dense, 7) AS score FROM den LEFT JOIN scored s USING (query_id, doc_id))"""
 
 
 def hybrid(spark, sf_dir):
@@ -221,7 +221,7 @@ def hybrid(spark, sf_dir):
     den = dense.scored(docs, asked).select("query_id", F.col("vec_id").alias("doc_id"), F.col("score").alias("dense"))
     lex = bm25_scored(spark, sf_dir).withColumnRenamed("score", "lexical")
     both = den.join(lex, ["query_id", "doc_id"], "left").fillna(0.0, ["lexical"])
-    return both.withColumn("score", F.round(0.5 * F.col("lexical") + 0.5 * F.col("dense"), 6))
+    return both.withColumn("score", F.round(0.5 * F.col("lexical") + 0.5 * F.col("dense"), 7))
 
 
 @query(HYBRID + " SELECT query_id, doc_id, lexical, dense, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM hyb WHERE score >= 0.12 QUALIFY rank <= 5")

@@ -17,10 +17,11 @@ def events(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataF
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_a_batch).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def windowed(stream: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "2 days") -> DataFrame:
-    """Counts and sums by window and kind; events later than `late` are dropped by the watermark."""
+def windowed(stream: DataFrame, window: str = "1 day", slide: str | None = None, late: str | None = "2 days") -> DataFrame:
+    """Counts and sums by window and kind; events later than `late` are dropped by the watermark (None: the stream has one)."""
     w = F.window("ts", window, slide) if slide else F.window("ts", window)
-    out = stream.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    marked = stream if late is None else stream.withWatermark("ts", late)
+    out = marked.groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 

@@ -26,7 +26,7 @@ def run(stream, name, mode, tmp):
 
 def test_windows(spark, folder):
     path, df, tmp = folder
-    run(ledger.windowed(ledger.once(ledger.events(spark, path, 1), "60 days"), late="60 days"), "w", "append", tmp)
+    run(ledger.windowed(ledger.once(ledger.events(spark, path, 10), "60 days"), late=None), "w", "append", tmp)
     run(ledger.windowed(ledger.events(spark, path, 10)), "c", "complete", tmp)
     got = {(r.start, r.event_type): r.n for r in spark.table("c").collect()}
     twice = df.unionByName(df.where("event_id BETWEEN 25 AND 29"))
