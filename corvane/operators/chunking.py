@@ -27,27 +27,31 @@ def spans(text: str, long: int = 24, piece: int = 16) -> list[tuple[int, int]]:
     return out
 
 
-def windows(text: str, size: int, overlap: int = 0, natural: bool = True) -> list[tuple[int, int]]:
-    """Windows of at most `size` tokens as character ranges; a window ends at a sentence's or line's end in its last 40 % where there is one."""
+def cuts(text: str, tok: list[tuple[int, int]], size: int, overlap: int = 0, natural: bool = True) -> list[tuple[int, int]]:
+    """Runs of at most `size` of the tokens `tok`, as index ranges; a run ends at a sentence's or line's end in its last 40 % where there is one."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
-    tok = spans(text)
     out, at = [], 0
     while at < len(tok):
         end = min(at + size, len(tok))
         if natural and end < len(tok):
             for k in range(end, at + int(size * 0.6), -1):
-                tail = text[tok[k - 1][1] - 1]
-                if tail in STOP or "\n" in text[tok[k - 1][1] : tok[k][0]]:
+                if text[tok[k - 1][1] - 1] in STOP or "\n" in text[tok[k - 1][1] : tok[k][0]]:
                     end = k
                     break
-        out.append((tok[at][0], tok[end - 1][1]))
+        out.append((at, end))
         if end == len(tok):
             break
         at = max(at + 1, end - overlap)
     return out
 
 
+def windows(text: str, size: int, overlap: int = 0, natural: bool = True) -> list[tuple[int, int]]:
+    """The same runs as character ranges."""
+    tok = spans(text)
+    return [(tok[a][0], tok[b - 1][1]) for a, b in cuts(text, tok, size, overlap, natural)]
+
+
 def sections(text: str) -> list[tuple[str, str]]:
     """(heading, body): Markdown, numbered and capital-letter headings open a section."""
     out: list[tuple[str, list[str]]] = [("", [])]
@@ -69,10 +73,11 @@ def structured(text: str, child: int = 384, overlap: int = 64, parent: int = 120
         raise ValueError("need 0 <= overlap < child <= parent")
     out, parents = [], 0
     for title, body in sections(text):
-        for a, b in windows(body, parent):
-            whole = body[a:b]
-            for c, d in windows(whole, child, overlap):
-                out.append({"position": len(out), "parent": parents, "section_title": title, "content": whole[c:d], "token_count": len(spans(whole[c:d]))})
+        tok = spans(body)  # once a section: parents and children are ranges of its tokens
+        for a, b in cuts(body, tok, parent):
+            own = tok[a:b]
+            for c, d in cuts(body, own, child, overlap):
+                out.append({"position": len(out), "parent": parents, "section_title": title, "content": body[own[c][0] : own[d - 1][1]], "token_count": d - c})
             parents += 1
     return out
 

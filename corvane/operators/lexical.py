@@ -32,22 +32,39 @@ def bm25(docs: DataFrame, queries: DataFrame, *, key: str = "doc_id", text: str
     """query_id, key, raw: documents with at least one query term; statistics are of `docs` as given (filter first).
 
     With `title` the term's frequency grows by one and a half times its frequency there (if it occurs in the text at all).
+    A posting carries its document's length, so scoring needs no join by document.
     """
     terms = query_terms(queries)
-    hay = docs.select(key, (F.concat_ws(" ", title, text) if title else F.col(text)).alias("haystack"), *([F.col(title).alias("_title")] if title else []))
-    size = lengths(hay, key)
-    corpus = size.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    post = postings(hay, key).join(terms.select("term").distinct(), "term", "left_semi")
+    words = T.retrieval_tokens(F.concat_ws(" ", title, text) if title else F.col(text))
+    heads = T.retrieval_tokens(F.col(title)) if title else F.array().cast("array<string>")
+    corpus = docs.select(F.size(words).alias("len")).agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    each = docs.select(key, words.alias("_w"), heads.alias("_h")).select(key, F.size("_w").alias("len"), "_h", F.explode("_w").alias("term"))
+    each = each.join(terms.select("term").distinct(), "term", "left_semi")
+    post = each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), *([F.first(F.size(F.filter("_h", lambda h: h == F.col("term")))).alias("tf_title")] if title else []))
     if title:
-        heads = postings(hay.select(key, F.col("_title").alias("haystack")), key).withColumnRenamed("tf", "tf_title")
-        post = post.join(heads, [key, "term"], "left").withColumn("tf", F.col("tf") + 1.5 * F.coalesce("tf_title", F.lit(0))).drop("tf_title")
+        post = post.withColumn("tf", F.col("tf") + 1.5 * F.col("tf_title")).drop("tf_title")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = post.join(df, "term").join(size, key).join(F.broadcast(corpus))  # one row
+    weighed = post.join(df, "term").join(F.broadcast(corpus))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avgdl", F.lit(1.0))))
     return weighed.select(key, "term", part.alias("part")).join(terms, "term").groupBy("query_id", key).agg(F.sum("part").alias("raw"))
 
 
+def containing(docs: DataFrame, queries: DataFrame, *, key: str = "doc_id", text: str = "text", query: str = "query") -> DataFrame:
+    """query_id, key: documents that hold a query's whole text.
+
+    A text that holds a passage has each of its inner words (between blanks) as a word; the longest of them is looked up by equality, and only
+    candidates are searched. Queries without an inner word, which are short, meet every document.
+    """
+    inner = F.filter(F.slice(F.split(query, " "), 2, F.greatest(F.size(F.split(query, " ")) - 2, F.lit(0))), lambda w: w != "")
+    asked = queries.select("query_id", F.col(query).alias("_q"), F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("_w"))
+    long = asked.where("_w IS NOT NULL")
+    words = docs.select(key, F.explode(F.array_distinct(F.split(text, " "))).alias("_w")).join(long.select("_w").distinct(), "_w", "left_semi")
+    near = words.join(long, "_w").join(docs.select(key, text), key).where(F.contains(F.col(text), F.col("_q"))).select("query_id", key)
+    short = asked.where("_w IS NULL").select("query_id", "_q")
+    return near.unionByName(docs.join(short, F.contains(F.col(text), F.col("_q"))).select("query_id", key))
+
+
 def bonuses(docs: DataFrame, queries: DataFrame, *, key: str = "doc_id", content: str = "content", title: str = "title") -> DataFrame:
     """query_id, key, bonus for documents that hold the whole query (4), one of its identifiers (8), or a title that is in the query (12).
 

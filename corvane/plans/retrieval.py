@@ -143,8 +143,8 @@ MRR = f"""WITH {BM25}, top AS (SELECT *, row_number() OVER (PARTITION BY query_i
 
 def relevant(spark, sf_dir) -> DataFrame:
     """(query_id, document_id = doc_id): documents that hold the whole passage."""
-    docs, asked = model.table(spark, sf_dir, "documents"), F.broadcast(model.gold(spark, sf_dir))  # a fixed batch of passages
-    return docs.join(asked, F.contains(F.col("text"), F.col("query"))).select("query_id", F.col("doc_id").alias("document_id"))
+    docs = model.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.containing(docs, model.gold(spark, sf_dir)).withColumnRenamed("doc_id", "document_id")
 
 
 @query(MRR)
@@ -235,9 +235,9 @@ def hybrid_score(spark, sf_dir):
    SELECT query_id, doc_id, score FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5""")
 def rrf_fusion(spark, sf_dir):
     h = hybrid(spark, sf_dir)
-    half = F.lit(0.5).alias("weight")
-    branches = h.where("lexical > 0").select("query_id", F.lit("lexical").alias("branch"), half, "doc_id", F.col("lexical").alias("score")).unionByName(
-        h.where("dense > 0").select("query_id", F.lit("dense").alias("branch"), half, "doc_id", F.col("dense").alias("score")))
+    # both branches from one pass over the scores
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("branch"), F.col(c).alias("score")) for c in ("lexical", "dense")])).alias("x")
+    branches = h.select("query_id", "doc_id", both).select("query_id", "doc_id", "x.branch", "x.score", F.lit(0.5).alias("weight")).where("score > 0")
     fused = fusion.reciprocal_ranks(branches, "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"))
     return lexical.top(fused, 5, "score", "doc_id").drop("rank")
 
