@@ -252,3 +252,52 @@ def test_hash_embedding(spark):
     d = spark.createDataFrame([(1, "alpha beta alpha"), (2, "alpha beta alpha"), (3, "")], "doc_id long, text string")
     v = {r.doc_id: r.vector for r in ingesting.hashed(d, 64).collect()}
     assert v[1] == v[2] and sum(x * x for x in v[1]) == pytest.approx(1.0, abs=1e-5) and not any(v[3])
+
+
+def test_evidence_and_answers(spark):
+    from corvane.operators import answering as A
+
+    hits = spark.createDataFrame([(1, "gateway error VPN-401", 5, 0, "nothing of use", 0.9), (1, "gateway error VPN-401", 5, 1, "the gateway gives VPN-401", 0.2)], "query_id long, query string, doc_id long, position int, content string, score double")
+    assert A.best_evidence(hits).first().position == 1
+    text = "The gateway restarts at night. Unrelated filler sentence here. Error VPN-401 means a bad password! Last words."
+    assert "VPN-401" in A.excerpt("what is error VPN-401", text, 60) and len(A.excerpt("x", text * 20, 100)) <= 100 and A.sentences("A b. A B. c\nd") == ["A b.", "c", "d"]
+    rows = spark.createDataFrame([(1, "error VPN-401", "d1", text, 1), (1, "error VPN-401", "d2", "other", 2), (1, "error VPN-401", "d3", "x", 4)], "query_id long, query string, document_id string, content string, rank int")
+    a = A.answers(rows).first()
+    assert a.citations == ["d1", "d2"] and a.answer.endswith("[2]")
+    r = spark.range(1).select(A.redacted(F.lit("doc-1 doc-12 a.doc-1 (doc-1)."), F.array(F.lit("doc-1"))).alias("t")).first().t
+    assert r == "[restricted] doc-12 a.doc-1 ([restricted])."
+
+
+def test_replay(spark):
+    from corvane.operators import answering as A
+
+    pool = spark.createDataFrame([("k1", 1), ("k2", 2)], "key string, doc int")
+    met, left = A.replayed(pool, spark.createDataFrame([("k1", 0.5), ("k1", 0.5)], "key string, rerank double"))
+    assert [(r.key, r.rerank) for r in met.collect()] == [("k1", 0.5)] and [r.key for r in left.collect()] == ["k2"]
+    with pytest.raises(ValueError):
+        A.replayed(pool, spark.createDataFrame([("k1", 0.5), ("k1", 0.6)], "key string, rerank double"))
+
+
+def test_extraction(spark):
+    from corvane.operators import extraction as X
+
+    note = "Intro text\nPROBLEM\nIBM MQ 9.1.0 throws NullPointerException, see swg21999 and VPN-401.\n# Fix:\napply it"
+    d = spark.createDataFrame([("swg1", note), ("swg2", ""), ("swg3", None)], "document_id string, content string")
+    parts = [(r.ordinal, r.title, r.body, r.start) for r in X.sections(d).where("document_id = 'swg1'").orderBy("ordinal").collect()]
+    assert [p[1] for p in parts] == ["", "PROBLEM", "Fix"] and all(note[p[3] :].startswith(("Intro", "PROBLEM", "# Fix")) for p in parts) and parts[2][2] == "apply it"
+    got = X.entities(d).collect()
+    assert {(r.kind, r.name) for r in got} >= {("product", "IBM MQ"), ("version", "9.1.0"), ("error", "NullPointerException"), ("document", "swg21999"), ("ticket", "VPN-401")}
+    assert all(note[r.start : r.end] == r.name for r in got)
+    rel = {(r.source, r.target, r.relation) for r in X.relations(X.entities(d)).collect()}
+    assert ("swg1", "swg21999", "references") in rel and any(r[2] == "version_of" and r[0] == "9.1.0" for r in rel)
+    units = X.review_units(spark.createDataFrame([("a", 0, "x" * 50), ("a", 1, "y" * 30), ("a", 2, "z" * 250)], "document_id string, ordinal int, body string"), most=100, overlap=10).orderBy("unit").collect()
+    assert [len(u.text) for u in units][0] == 81 and all(len(u.text) <= 100 for u in units)
+
+
+def test_zip_members(spark):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("a/x.txt", "one")
+        z.writestr("y.txt", "two")
+    got = parsing.unzipped(spark.createDataFrame([("z.zip", bytearray(data.getvalue()))], "path string, content binary")).collect()
+    assert {(r.path, bytes(r.content)) for r in got} == {("a/x.txt", b"one"), ("y.txt", b"two")}
