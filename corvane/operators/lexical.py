@@ -72,7 +72,7 @@ def bonuses(docs: DataFrame, queries: DataFrame, *, key: str = "doc_id", content
     """
     q = queries.select("query_id", F.lower(F.trim("query")).alias("q"), T.identifiers(F.col("query")).alias("ids"), F.lower("query").alias("ql"))
     d = docs.select(key, F.lower(F.concat_ws(" ", title, content)).alias("hay"), F.lower(F.trim(title)).alias("t"))
-    hit = d.join(F.broadcast(q), F.lit(True))
+    hit = d.join(q, F.lit(True))
     return hit.select(
         "query_id", key,
         (F.when(F.exists("ids", lambda i: F.contains(F.col("hay"), i)), 8.0).otherwise(0.0) + F.when(F.contains("hay", "q"), 4.0).otherwise(0.0)

@@ -78,7 +78,7 @@ def graph_rag_rank(spark, sf_dir):
     a = authorized(spark, sf_dir)
     q = F.floor(F.col("doc_id") / 25)
     hits = a.where("doc_id < 500").select(q.alias("query_id"), "document_id", F.round(1.0 / (1 + F.col("doc_id") % 25), 6).alias("score"), F.row_number().over(W.partitionBy(q).orderBy("doc_id")).alias("rank")).where("rank <= 6")
-    evidence = a.where("doc_id % 2 = 0").select("document_id").crossJoin(F.broadcast(hits.select("query_id").distinct()))
+    evidence = a.where("doc_id % 2 = 0").select("document_id").crossJoin(hits.select("query_id").distinct())
     return graph.graph_ranked(hits, paths(spark, sf_dir), evidence)
 
 

@@ -266,7 +266,7 @@ def line_hits(spark, sf_dir):
     """Lines as chunks, scored by the share of a question's tokens they hold."""
     chunks = model.lines(authorized(spark, sf_dir)).select("doc_id", "position", T.retrieval_tokens(F.col("content")).alias("t"))
     asked = model.gold(spark, sf_dir).where("query_id <= 10").select("query_id", F.array_distinct(T.retrieval_tokens(F.col("query"))).alias("qt"))
-    hit = chunks.join(F.broadcast(asked), F.lit(True)).select("query_id", "doc_id", F.col("position").cast("long").alias("position"), F.round(F.size(F.array_intersect("qt", "t")) / F.size("qt"), 6).alias("score"))
+    hit = chunks.join(asked, F.lit(True)).select("query_id", "doc_id", F.col("position").cast("long").alias("position"), F.round(F.size(F.array_intersect("qt", "t")) / F.size("qt"), 6).alias("score"))
     return hit.where("score > 0.1")
 
 

@@ -243,7 +243,7 @@ def test_jsonl_and_versions(spark, tmp_path):
 def test_text_functions(spark):
     row = lambda *c: spark.range(1).select(*[x.alias(f"c{k}") for k, x in enumerate(c)]).first()
     r = row(T.retrieval_tokens(F.lit("Ab-c é 漢字 x_1")), T.budget_tokens(F.lit("a" * 40 + " b, 漢")), T.stem(F.lit("operations")), T.stem(F.lit("sing")), T.slug(F.lit(" A  b! ")), T.collapse(F.lit(" a \n b ")), T.char_grams(F.lit("a b")), T.char_grams(F.lit("abcd")))
-    assert r.c0 == ["ab-c", "漢", "字", "x_1"] and r.c1 == 3 + 1 + 1 + 1 and (r.c2, r.c3) == ("operations"[:5] if False else "operations"[:-6] if len("operations") - 6 >= 5 else r.c2, "sing") and r.c4 == "a-b" and r.c5 == "a b" and r.c6 == ["ab"] and r.c7 == ["abc", "bcd"]
+    assert r.c0 == ["ab-c", "漢", "字", "x_1"] and r.c1 == 3 + 1 + 1 + 1 and (r.c2, r.c3) == ("operation", "sing") and r.c4 == "a-b" and r.c5 == "a b" and r.c6 == ["ab"] and r.c7 == ["abc", "bcd"]
     f = row(T.reinforcement(F.lit(0), F.lit(0), F.lit(0), F.lit(0)), T.reinforcement(F.lit(20), F.lit(20), F.lit(0), F.lit(0)))
     assert f.c0 == 0.0 and f.c1 == 1.0
 
