@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     seed = 7
     plan = mixing.mix(docs, seed=seed).where("taken > 0").dropDuplicates(["doc_id", "spot"])
     plan = materialize(plan.select(F.col("doc_id").alias("__cv_id"), F.col("spot").alias("__cv_spot"), "laps", "size", "first", "last", "wrap"), "pipeline-mix")
-    spot = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    spot = mixing.spot_of(seed, F.col("doc_id"), F.col("text"))
     met = docs.withColumn("__cv_at", spot).join(plan, F.col("doc_id").eqNullSafe(F.col("__cv_id")) & (F.col("__cv_at") == F.col("__cv_spot")))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
     part = lambda a, b: F.when(b > a, F.when((a == 0) & (b == F.col("size")), F.col("text")).otherwise(F.array_join(F.slice(words, (a + 1).cast("int"), (b - a).cast("int")), "")))

@@ -18,7 +18,7 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,6 +81,15 @@ def apportion(votes: DataFrame, group: list[str], vote: str, seats: str, order:
     return based.join(won, same, "left").select(*votes.columns, (F.col("_base") + F.coalesce("_won", F.lit(0))).cast("long").alias("quota"))
 
 
+def spot_of(seed: int, doc_id: Column, text: Column) -> Column:
+    """A document's place in the seeded order: keyed MD5 of id and text, in hexadecimal."""
+    return F.md5(F.concat_ws("|", F.lit(seed), doc_id, text))
+
+
+def _number(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *, share: float = 1.5, repeats: int = 2,
     weights: tuple[int, ...] = WEIGHTS, block: int = 16, shard_words: int = 1 << 17, shard_rows: int = 4096, most_shards: int = 1 << 16, seed: int = 7,
@@ -92,7 +101,7 @@ def mix(
     measured = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(SPACED_WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("spot"),
+        spot_of(seed, F.col(doc_id), F.col(text)).alias("spot"),
     )
     sizes = materialize(measured, "mixing-sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
@@ -107,7 +116,7 @@ def mix(
         "mixing-goals",
     )
     g = goals.withColumnRenamed("source", "_s")
-    dealt = sizes.join(g, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("shard", F.pmod("spot", F.col("shards")))
+    dealt = sizes.join(g, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("shard", _number(F.col("spot")) % F.col("shards"))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("vote"), F.max("source_quota").alias("seats"))
     quotas = materialize(apportion(shards, ["source"], "vote", "seats", [F.col("shard")]).select(F.col("source").alias("_s"), F.col("shard").alias("_h"), F.col("vote").alias("shard_size"), "quota"), "mixing-quotas")
 
@@ -119,7 +128,7 @@ def mix(
     placed = (
         placed.withColumn("laps", F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("run", (words - F.col("laps") * F.col("shard_size")).cast("long"))
-        .withColumn("at", F.when(F.col("shard_size") > 0, F.pmod(F.xxhash64(F.lit(seed + 1), "source", "shard"), blocks) * block).otherwise(0).cast("long"))
+        .withColumn("at", F.when(F.col("shard_size") > 0, _number(F.md5(F.concat_ws("|", F.lit(seed + 1), "source", "shard"))) % blocks * block).otherwise(0).cast("long"))
         .withColumn("end", F.col("at") + F.col("run"))
         .withColumn("first", F.least("size", F.greatest(F.lit(0), F.col("at") - F.col("start"))))
         .withColumn("last", F.least("size", F.greatest(F.col("first"), F.col("end") - F.col("start"))))

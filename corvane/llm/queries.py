@@ -108,7 +108,29 @@ def _license_sql() -> str:
  FROM w LEFT JOIN base USING (doc_id) LEFT JOIN met USING (doc_id)"""
 
 
+#: Water filling, highest quotients for sources and shards, and the seeded run of blocks.
+_MIX_SQL = r"""WITH sz AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat_ws('|', 7, doc_id, text)) AS spot FROM documents),
+ tot AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM sz GROUP BY source),
+ w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM tot),
+ l AS (SELECT *, cap / weight AS ratio, (total - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY cap / weight, source IS NULL, source)),
+ t AS (SELECT source, source_size, n, least(cap, coalesce(weight * (SELECT max(level) FROM l WHERE ratio > level), cap)) AS target FROM l), m AS (SELECT round(sum(target) / 16)::BIGINT AS seats, count(*) AS parties FROM t),
+ q AS (SELECT source, target / (2 * k + 1) AS quot, k FROM (SELECT source, target, unnest(range(0, ceil(target / 16)::BIGINT + parties + 2)) AS k FROM t, m WHERE target > 0)),
+ won AS (SELECT source, count(*) AS quota FROM (SELECT source, row_number() OVER (ORDER BY quot DESC, source IS NULL, source, k) AS r FROM q), m WHERE r <= seats GROUP BY source),
+ g AS (SELECT t.*, coalesce(quota, 0) AS quota, least(65536, greatest(1, ceil(source_size / 131072.0), ceil(n / 4096.0)))::BIGINT AS shards FROM t LEFT JOIN won ON t.source IS NOT DISTINCT FROM won.source),
+ d AS (SELECT sz.*, source_size, target, quota, shards, ('0x' || substr(spot, 1, 8))::BIGINT % shards AS shard FROM sz JOIN g ON sz.source IS NOT DISTINCT FROM g.source),
+ sh AS (SELECT source, shard, sum(size)::BIGINT AS shard_size, max(quota) AS seats, max(source_size) AS source_size, max(shards) AS shards FROM d GROUP BY source, shard),
+ sq AS (SELECT source, shard, seats, shard_size / (2 * k + 1)::DOUBLE AS quot, k FROM (SELECT *, unnest(range(0, ceil(seats * shard_size / source_size::DOUBLE)::BIGINT + shards + 2)) AS k FROM sh WHERE shard_size > 0)),
+ sw AS (SELECT source, shard, count(*) AS blocks FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quot DESC, shard, k) AS r FROM sq) WHERE r <= seats GROUP BY source, shard),
+ p AS (SELECT d.*, shard_size, least(coalesce(blocks, 0) * 16, shard_size * 2) AS words, sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY spot, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start,
+  ('0x' || substr(md5(concat_ws('|', 8, d.source, d.shard)), 1, 8))::BIGINT % greatest(1, ceil(shard_size / 16.0)::BIGINT) * 16 AS at_
+  FROM d JOIN sh ON d.source IS NOT DISTINCT FROM sh.source AND d.shard = sh.shard LEFT JOIN sw ON d.source IS NOT DISTINCT FROM sw.source AND d.shard = sw.shard),
+ f AS (SELECT *, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS laps, CASE WHEN shard_size > 0 THEN at_ + words - words // shard_size * shard_size ELSE 0 END AS stop FROM p),
+ h AS (SELECT *, least(size, greatest(0, at_ - start)) AS first FROM f)
+ SELECT doc_id, size, source_size, target, (laps * size + least(size, greatest(first, stop - start)) - first + least(size, greatest(0, stop - shard_size - start)))::BIGINT AS taken, laps::BIGINT AS laps FROM h"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_sainte_lague_mix": _MIX_SQL,
     "op2_license_join": _license_sql(),
     "op10_onebit_neighbours": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
  d AS (SELECT q.vec_id AS query_id, r.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, r.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score FROM v q JOIN v r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)
