@@ -57,8 +57,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_ids, ids, lossless): piece ids with merge-dropout, and whether they decode to the very text."""
     merger = merge_dropout.Merger(PIECE_MODEL, dropout=0.1, seed=8)
-    back = merge_dropout.decode(merge_dropout.encode(docs.select("doc_id", "text", "lang", "source"), merger, "ids"), merger, "ids", "decoded")
-    return back.select("doc_id", "lang", "source", F.size("ids").alias("n_ids"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    coded = merge_dropout.encode(docs.select("doc_id", "text", "lang", "source"), merger, "ids", verified="lossless")
+    return coded.select("doc_id", "lang", "source", F.size("ids").alias("n_ids"), "ids", "lossless")
 
 
 STAGES: list[tuple[str, Stage]] = [

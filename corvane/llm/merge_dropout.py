@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from corvane.llm.common import bounded_batches, plus
 
@@ -31,7 +32,7 @@ MARK = "▁"
 #: Runs of spaces with the word after them; line breaks and other white space stand alone or within words, they never merge with letters in this vocabulary.
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Words in one generation of the cuts a worker keeps for all tasks of equal parameters; there are two generations.
-_KEEP = 450_000
+_KEEP = 300_000
 _KEPT: dict[tuple, list[list[dict[str, bytes]]]] = {}
 #: Words up to this length are merged many at a time.
 _SHORT = 32
@@ -300,21 +301,27 @@ class Merger:
         return [bytes(data[a:b])[1:].decode("utf-8", "surrogatepass") if ok else None for a, b, ok in zip(at, at[1:], valid)]
 
 
-def encode(docs: DataFrame, merger: Merger, out: str = "ids", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of `docs` and the piece ids in `out` (array of int)."""
+def encode(docs: DataFrame, merger: Merger, out: str = "ids", doc_id: str = "doc_id", text: str = "text", verified: str | None = None) -> DataFrame:
+    """All columns of `docs` and the piece ids in `out` (array of int).
+
+    With `verified`, a boolean column of that name: the ids were decoded again and gave the very text (the empty one for a null). It is
+    done in the same worker, so a task needs one vocabulary in memory.
+    """
     bounded_batches(docs.sparkSession)
-    rest = docs.drop(out) if out in docs.columns else docs
+    rest = docs.drop(out, *([verified] if verified else []))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                ids = merger.encode_all(part.column(text).to_pylist(), part.column(doc_id).to_pylist())
+                texts = part.column(text).to_pylist()
+                ids = merger.encode_all(texts, part.column(doc_id).to_pylist())
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                flat = np.frombuffer(b"".join(ids), np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*part.schema.names, out])
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                more = [pa.array([d == (t or "") for d, t in zip(merger.decode_all(made), texts)], pa.bool_())] if verified else []
+                yield pa.RecordBatch.from_arrays([*part.columns, made, *more], [*part.schema.names, out, *([verified] if verified else [])])
 
-    return rest.mapInArrow(work, _schema(rest, out, "array<int>"))
+    return rest.mapInArrow(work, _schema(rest, out, verified))
 
 
 def decode(coded: DataFrame, merger: Merger, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -330,7 +337,6 @@ def decode(coded: DataFrame, merger: Merger, ids: str = "ids", out: str = "decod
     return rest.mapInArrow(work, plus(rest, **{out: "string"}))
 
 
-def _schema(df: DataFrame, out: str, kind: str):
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-
-    return StructType([*df.schema.fields, StructField(out, ArrayType(IntegerType()))])
+def _schema(df: DataFrame, out: str, verified: str | None) -> StructType:
+    more = [StructField(out, ArrayType(IntegerType()))] + ([StructField(verified, BooleanType())] if verified else [])
+    return StructType([*df.schema.fields, *more])

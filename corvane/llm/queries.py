@@ -58,8 +58,7 @@ def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     merger = merge_dropout.Merger(PIECE_MODEL, dropout=0.1, seed=8)
-    back = merge_dropout.decode(merge_dropout.encode(docs, merger, "ids"), merger, "ids", "decoded")
-    return back.select("doc_id", F.size("ids").alias("n_ids"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    return merge_dropout.encode(docs, merger, "ids", verified="lossless").select("doc_id", F.size("ids").alias("n_ids"), "ids", "lossless")
 
 
 def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

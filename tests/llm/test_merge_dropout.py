@@ -63,6 +63,8 @@ def test_frames(docs, clashing, nothing, merger):
     got = out.collect()
     want = sorted((r[1] or "") for r in rows())
     assert sorted(r.decoded for r in got) == want and all(r.ids == [] for r in got if r.text is None)
+    told = D.encode(clashing, merger, verified="score")
+    assert told.where("score").count() == len(rows()) and set(told.columns) == set(clashing.columns)
     same = [r.ids for r in got if r.doc_id == 3]
     assert len(same) == 3 and same[0] == same[1] == same[2]
     assert D.decode(D.encode(nothing, merger), merger).collect() == []
