@@ -12,8 +12,8 @@ The mean is fitted on at most `sample` vectors (smallest keyed hash first); it a
 
 No row is hot: blocks are dealt by id, so copies of one vector spread over all of them.
 
-Nulls: vectors that are null, zero, of another length than most, or hold nulls, NaN or infinities take no part; rows with a null id neither. Repeated ids are rows of their own,
-but a query's own id is never its neighbour. Ties go to the smaller id. With fewer than k candidates all are returned; without vectors, nothing.
+Nulls: vectors that are null, zero, of another length than most, or hold nulls, NaN or infinities take no part; rows with a null id neither. Equal rows count once (all rows of an id are in one
+block); rows of one id with different vectors are rows of their own; a query's own id is never its neighbour. Ties go to the smaller id. With fewer than k candidates all are returned; without vectors, nothing.
 Other columns are ignored.
 """
 
@@ -107,7 +107,9 @@ def _nearest(queries: pd.DataFrame, rows: pd.DataFrame, codec: Codec, k: int, e:
                 # squares are added from the first place to the last, so the distance doesn't depend on how many rows are summed together
                 far = np.sqrt(np.add.accumulate(away * away, axis=1)[:, -1])
                 dist, who = np.concatenate([best_d, far]), np.concatenate([best_i, ids[some]])
-                keep = np.lexsort((who, dist))[:k]
+                keep = np.lexsort((who, dist))
+                new = np.append(True, (np.diff(dist[keep]) != 0) | (np.diff(who[keep]) != 0))[: len(keep)]  # equal rows count once
+                keep = keep[new][:k]
                 best_d, best_i = dist[keep], who[keep]
             out.append(pd.DataFrame({"query_id": me, "vec_id": best_i, "score": best_d}))
     return pd.concat(out, ignore_index=True)

@@ -68,3 +68,9 @@ def test_few_or_no_rows(spark):
     assert N.search(df.where("false"), df.where("false")).collect() == []
     same = frame(spark, [(k, [1.0, 1.0]) for k in range(5)])
     assert [(r.vec_id, r.score) for r in N.search(same, same.where("vec_id = 0"), 3).orderBy("rank").collect()] == [(1, 0.0), (2, 0.0), (3, 0.0)]
+
+
+def test_equal_rows_count_once(spark):
+    df = frame(spark, [(0, [0.0, 1.0]), (0, [0.0, 1.0]), *[(1, [0.0, 2.0])] * 12, (1, [0.0, 5.0]), (2, [0.0, 3.0]), (3, [0.0, 4.0])])
+    got = [(r.rank, r.vec_id, r.score) for r in N.search(df, df.where("vec_id = 0"), 4).orderBy("rank").collect()]
+    assert got == [(1, 1, 1.0), (2, 2, 2.0), (3, 3, 3.0), (4, 1, 4.0)]
