@@ -32,7 +32,7 @@ MARK = "▁"
 #: Runs of spaces with the word after them; line breaks and other white space stand alone or within words, they never merge with letters in this vocabulary.
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Words in one generation of the cuts a worker keeps for all tasks of equal parameters; there are two generations.
-_KEEP = 300_000
+_KEEP = 450_000
 _KEPT: dict[tuple, list[list[dict[str, bytes]]]] = {}
 #: Words up to this length are merged many at a time.
 _SHORT = 32
