@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corvane.llm.common import materialize
+from corvane.llm.common import bounded_batches, materialize
 
 
 def rotation(d: int, seed: int) -> np.ndarray:
@@ -120,6 +120,7 @@ def search(
     seed: int = 10, vector_block: int = 8192, query_block: int = 4096,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of `vectors` to each row of `queries`; score is the Euclidean distance."""
+    bounded_batches(vectors.sparkSession)
     rows = usable(vectors, vec_id, column)
     size = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     schema = "query_id long, rank int, vec_id long, score double"
