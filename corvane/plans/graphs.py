@@ -118,7 +118,7 @@ def reference_edges(spark, sf_dir):
   SELECT a.doc_id AS left_id, b.doc_id AS right_id, round(len(list_intersect(a.g, b.g))::DOUBLE / len(list_distinct(list_concat(a.g, b.g))), 6) AS similarity FROM k a JOIN k b
   ON a.source = b.source AND a.doc_id < b.doc_id AND b.n_chars BETWEEN a.n_chars * 0.8 AND a.n_chars * 1.25 WHERE len(list_intersect(a.g, b.g)) >= 0.88 * len(list_distinct(list_concat(a.g, b.g)))""")
 def near_duplicate_pairs(spark, sf_dir):
-    """Trigram Jaccard of at least 0.88 within a source and a like length; the reference measure for small candidate sets."""
+    """Trigram Jaccard of at least 0.88 within a source and a like length."""
     d = model.table(spark, sf_dir, "documents").where("n_chars < 1500").select("doc_id", "source", "n_chars", F.array_distinct(F.transform(T.char_grams(F.col("text")), lambda g: F.xxhash64(g))).alias("g"))
     a, b = d.select(*[F.col(c).alias(f"a_{c}") for c in d.columns]), d.select(*[F.col(c).alias(f"b_{c}") for c in d.columns])
     met = a.join(b, (F.col("a_source") == F.col("b_source")) & (F.col("a_doc_id") < F.col("b_doc_id")) & F.col("b_n_chars").between(F.col("a_n_chars") * 0.8, F.col("a_n_chars") * 1.25))
@@ -212,14 +212,14 @@ query(f"""WITH RECURSIVE {BM25}, t AS (SELECT query_id, doc_id, score, row_numbe
  SELECT o.query_id, t.doc_id AS document_id, o.place FROM o JOIN t USING (query_id, rank)""")(coverage_select)
 
 
-SAG = f"""WITH {RARE}, qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7), cosn AS (SELECT d.doc_id, round(greatest(0.0, list_dot_product(e.embedding::DOUBLE[], q)), 6) AS event_score FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % 500, qv),
+MULTI = f"""WITH {RARE}, qv AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 7), cosn AS (SELECT d.doc_id, round(greatest(0.0, list_dot_product(e.embedding::DOUBLE[], q)), 6) AS event_score FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % 500, qv),
  seed AS (SELECT doc_id FROM cosn ORDER BY event_score DESC, doc_id LIMIT 24), near AS (SELECT DISTINCT doc_id FROM mem WHERE entity IN (SELECT entity FROM mem WHERE doc_id IN (SELECT doc_id FROM seed)) AND doc_id NOT IN (SELECT doc_id FROM seed)),
  reach AS (SELECT doc_id, 0 AS hop FROM seed UNION ALL SELECT doc_id, 1 FROM near), sc AS (SELECT doc_id, hop, round(0.42 * event_score + CASE WHEN hop > 0 THEN 0.12 * pow(0.75, hop - 1) ELSE 0 END, 8) AS score FROM reach JOIN cosn USING (doc_id))
  SELECT doc_id, hop, score FROM sc ORDER BY score DESC, doc_id LIMIT 80"""
 
 
-@query(SAG)
-def sag_route(spark, sf_dir):
+@query(MULTI)
+def multi_route_search(spark, sf_dir):
     """One route: seeds by vector, their neighbours over shared entities, one pool of 80."""
     v = model.vectors(spark, sf_dir)
     q = v.where("vec_id = 7").select(F.lit(0).alias("query_id"), F.col("v").alias("q"))
