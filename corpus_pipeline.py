@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import line_align, merge_dropout, mixing, simhash, toxicity
+from corvane.llm import jaccard, line_align, merge_dropout, mixing, toxicity
 from corvane.llm.common import materialize, table
 from corvane.llm.queries import PIECE_MODEL
 
@@ -32,9 +32,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by fingerprints of five-word shingles that differ in at most two of 64 bits (97 % alike), the one with the smallest id
-    stays, once. Documents without an id can't be told apart and stay."""
-    groups = simhash.near_duplicates(docs, radius=2, words=5)
+    """Of the documents linked by a Jaccard similarity of their five-word shingles of at least 0.8, the one with the smallest id stays, once. Documents
+    without an id can't be told apart and stay."""
+    groups = jaccard.near_duplicates(docs, least=0.8, words=5)
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     return docs.join(keep, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
@@ -64,7 +64,7 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", reject_toxic),
     ("line dedup", drop_repeated_lines),
-    ("SimHash near-dedup", keep_one_of_each_group),
+    ("near-dedup", keep_one_of_each_group),
     ("mixing sources to target weights", mix_sources),
     ("SentencePiece encoding and decoding", encode_pieces),
 ]
