@@ -1,7 +1,8 @@
 """PII: format-preserving Feistel pseudonyms, in SQL expressions only.
 
 Candidates are found by one pattern; each is validated by its kind, and only valid ones are changed:
-    card     13 to 19 digits, blanks or hyphens between them, with a right Luhn digit: digits permuted, the Luhn digit made anew
+    card     13 to 19 digits, blanks or hyphens between them, with a right Luhn digit: digits permuted, the Luhn digit made anew; where a candidate
+             as a whole has none, the first of its runs of whole groups that has (from the left, the longest first)
     iban     country, check digits and account with remainder 1 modulo 97: account permuted, check digits made anew
     ssn      nnn-nn-nnnn in the issued ranges (area not 000, 666 or 9xx, group not 00, serial not 0000): permuted within the ranges
     phone    with area code in brackets, with a country code, or nnn-nnn-nnnn; codes of the North American plan stay codes that begin with 2 to 9
@@ -9,7 +10,7 @@ Candidates are found by one pattern; each is validated by its kind, and only val
     date     days that exist, of the years 1800 to 2199, year first, day first or month first (day first where both would do): permuted over
              all 146 097 days of those years and written in the same order, with the same separators and padding
     email    the part before the @: letters stay letters of their case, digits digits
-    key      AKIA and 16 characters; password, token, secret or api_key with = or : and at least 8 characters: permuted like e-mail names,
+    key      AKIA and 16 characters; password, token, secret or api_key (in any case) with = or : and at least 8 characters: permuted like e-mail names,
              hexadecimal ones within hexadecimal digits
 
 The permutation is an alternating Feistel network over a vector of numbers with given radices: eight rounds, each adding to one half a number
@@ -23,13 +24,15 @@ Repeated rows yield equal rows, an empty table an empty result. Columns named as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What may be a value; tried in this order at each place of the text. Quantifiers are bounded, so no text takes more than linear time.
+#: What may be a value; tried in this order at each place of the text. Quantifiers are bounded or possessive, so no text takes more than linear time.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,8}+[A-Za-z]{2,24}",
-    "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?:password|token|secret|api_key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_-]{8,128}+",
+    "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])(?i:password|token|secret|api_key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_-]{8,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+(])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![A-Za-z0-9.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -39,8 +42,10 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without these has no value.
-HINT = r"[0-9@]|password|token|secret|api_key"
+HINT = r"[0-9@]|(?i:password|token|secret|api_key)"
 ROUNDS = 8
+#: Permutations of a card number within a longer candidate; each finds its run again with a chance of a few hundredths at least.
+WALK = 1024
 #: Days of the 400 years from 1800-01-01, as 27 x 5411.
 DAYS = (27, 5411)
 
@@ -98,6 +103,23 @@ def _luhn(digits: str, shift: int) -> str:
     return f"(aggregate(sequence(1, length({digits})), 0, (q, j) -> q + if({one} > 9, {one} - 9, {one})) % 10)"
 
 
+def _card_span(x: str) -> str:
+    """SQL: struct (a, b), the first and last place in `x` of its first run of whole groups that is a card number; null if there is none."""
+    starts = f"filter(sequence(1, length({x})), cp -> cp = 1 OR substr({x}, cp - 1, 1) IN (' ', '-'))"
+    ends = f"filter(sequence(length({x}), 1, -1), cp -> cp = length({x}) OR substr({x}, cp + 1, 1) IN (' ', '-'))"
+    spans = f"filter(flatten(transform({starts}, ca -> transform({ends}, cb -> named_struct('a', ca, 'b', cb)))), cs -> cs.b - cs.a >= 12)"
+    run = f"regexp_replace(substr({x}, cs.a, cs.b - cs.a + 1), '[^0-9]', '')"
+    return f"get(filter({spans}, cs -> {_let(run, 'd', f'length(d) BETWEEN 13 AND 19 AND ' + _luhn('d', 0) + ' = 0')}), 0)"
+
+
+def _card(m: str, permuted: Callable[[str], str]) -> str:
+    """SQL: `m` with its card number permuted until the same run of it would be found again, so that it can be undone."""
+    whole = "concat(substr(cm, 1, cn.a - 1), {}, substr(cm, cn.b + 1))"
+    step = _let(permuted("co.x"), "cy", f"named_struct('x', cy, 'done', {_let(whole.format('cy'), 'cw', f'coalesce({_card_span("cw")} = cn, false)')})")
+    walk = f"aggregate(sequence(1, {WALK}), named_struct('x', substr(cm, cn.a, cn.b - cn.a + 1), 'done', false), (co, ck) -> if(co.done, co, {step}), co -> {whole.format('co.x')})"
+    return _let(m, "cm", _let(_card_span("cm"), "cn", f"if(cn IS NULL, cm, {walk})"))
+
+
 def _mod97(x: str) -> str:
     return f"aggregate({_chars(x)}, 0, (q, c) -> if(c BETWEEN '0' AND '9', (q * 10 + ascii(c) - 48) % 97, (q * 100 + ascii(c) - 55) % 97))"
 
@@ -110,12 +132,12 @@ def _replacement(m: str, key: str, decrypt: bool) -> str:
     is_ = lambda kind: f"{m} RLIKE {_sql('^(?:' + _bare(PATTERNS[kind]) + ')$')}"
 
     email = f"concat({_permute_chars(f'substring_index({m}, chr(64), 1)', 'email', key, decrypt)}, substr({m}, locate(chr(64), {m})))"
-    head = f"if({m} LIKE 'AKIA%', 'AKIA', regexp_extract({m}, {_sql(chr(94) + '[a-z_]+' + chr(92) + 's*[=:]' + chr(92) + 's*[' + chr(34) + chr(39) + ']?')}, 0))"
+    head = f"if({m} LIKE 'AKIA%', 'AKIA', regexp_extract({m}, {_sql(chr(94) + '[A-Za-z_]+' + chr(92) + 's*[=:]' + chr(92) + 's*[' + chr(34) + chr(39) + ']?')}, 0))"
     secret = _let(head, "u", f"concat(u, {_permute_chars(f'substr({m}, length(u) + 1)', 'key', key, decrypt)})")
 
     card_new = _let(_permute_chars("substr(d, 1, length(d) - 1)", "card", key, decrypt), "w", f"concat(w, (10 - {_luhn('w', 1)}) % 10)")
-    card = _let(digits, "d", _let(card_new, "f", _refill(m, "f", "[0-9]")))
-    card_ok = _let(digits, "d", f"length(d) BETWEEN 13 AND 19 AND {_luhn('d', 0)} = 0")
+    card = _card(m, lambda x: _let(f"regexp_replace({x}, '[^0-9]', '')", "d", _let(card_new, "f", _refill(x, "f", "[0-9]"))))
+    card_ok = f"{_card_span(m)} IS NOT NULL"
 
     iban_new = _let(_permute_chars("substr(d, 5)", "iban", key, decrypt), "w", f"concat(substr(d, 1, 2), lpad(CAST(98 - {_mod97('concat(w, substr(d, 1, 2), chr(48), chr(48))')} AS STRING), 2, '0'), w)")
     iban = _let(alnum, "d", _let(iban_new, "f", _refill(m, "f", "[A-Za-z0-9]")))

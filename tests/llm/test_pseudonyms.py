@@ -72,3 +72,21 @@ def test_awkward_tables(docs, clashing, nothing):
     out = P.pseudonymize(clashing, "k")
     assert out.count() == docs.count() and set(out.columns) == set(clashing.columns) and out.where("score <> 'other'").isEmpty()
     assert P.pseudonymize(nothing, "k").collect() == []
+
+
+def test_cards_beside_other_numbers_and_keywords_in_any_case(spark):
+    r = random.Random(6)
+    texts = ["4111 1111 1111 1111 12/25", "4111 1111 1111 1111 123", "2 4111 1111 1111 1111", "pay 4111-1111-1111-1111 7 now"]
+    for _ in range(60):
+        d = "".join(r.choice("0123456789") for _ in range(15))
+        d = next(d + c for c in "0123456789" if luhn(d + c))
+        texts.append(f"{r.randrange(100)} {d[:4]} {d[4:8]} {d[8:12]} {d[12:]}")
+    secrets = ["Password: hunter2hunter2", "API_KEY=abcdefgh12345678", "TOKEN=zyxwvuts99", "secret=" + "k9" * 200]
+    df = spark.createDataFrame(list(enumerate(texts + secrets)), "doc_id int, text string")
+    out = P.pseudonymize(df, "k").cache()
+    got = {x.doc_id: x for x in out.collect()}
+    assert all("4111 1111" not in got[k].text and "4111-1111" not in got[k].text for k in range(4))
+    assert all(got[k].n_values == 1 and got[k].kinds == "card" and got[k].text != texts[k] for k in range(len(texts)))
+    for k, was in enumerate(secrets, len(texts)):
+        assert got[k].kinds == "key" and got[k].text[-9:] != was[-9:] and len(got[k].text) == len(was)
+    assert {x.doc_id: x.text for x in P.pseudonymize(out.select("doc_id", "text"), "k", decrypt=True).collect()} == dict(enumerate(texts + secrets))
