@@ -5,17 +5,22 @@ Candidates are found by one pattern; each is validated by its kind, and only val
              as a whole has none, the first of its runs of whole groups that has (from the left, the longest first)
     iban     country, check digits and account with remainder 1 modulo 97: account permuted, check digits made anew
     ssn      nnn-nn-nnnn in the issued ranges (area not 000, 666 or 9xx, group not 00, serial not 0000): permuted within the ranges
-    phone    with area code in brackets, with a country code, or nnn-nnn-nnnn; codes of the North American plan stay codes that begin with 2 to 9
+    phone    with area code in brackets, with a country code, or nnn-nnn-nnnn; codes of the North American plan stay codes of it that begin with 2 to 9,
+             other numbers keep two digits and stay outside that plan
     ip       four numbers up to 255: permuted as four bytes
     date     days that exist, of the years 1800 to 2199, year first, day first or month first (day first where both would do): permuted over
-             all 146 097 days of those years and written in the same order, with the same separators and padding
-    email    the part before the @: letters stay letters of their case, digits digits
+             all 146 097 days of those years and written in the same order, with the same separators and number of digits of each part; a date that can
+             only be read month first stays one
+    email    the part before the @: letters stay letters, digits digits
     key      AKIA and 16 characters; password, token, secret or api_key (in any case) with = or : and at least 8 characters: permuted like e-mail names,
-             hexadecimal ones within hexadecimal digits
+             lower-case hexadecimal ones among lower-case hexadecimal ones
 
 The permutation is an alternating Feistel network over a vector of numbers with given radices: eight rounds, each adding to one half a number
-per place drawn from SHA-256 of key, kind, round and the other half, modulo the place's radix. Every round can be undone, so
-the whole is a permutation of the format for a given key; equal values, in whatever spelling, get equal pseudonyms in all documents.
+per place drawn from SHA-256 of key, kind, round and the other half, modulo the place's radix. Every round can be undone. Where a format has a
+side condition (outside the numbering plan, one digit for a month, not hexadecimal), the permutation is repeated until its image meets it
+again: walking along a cycle, which is a permutation of the values that meet the condition. So for a given key each kind is permuted within its own format,
+two values never become one, and all can be turned back. Letters are permuted whatever their case, which each place
+keeps, so equal values get equal pseudonyms in all documents, whatever their case, separators or order of day and month (unless the format's side condition differs).
 The key is a parameter; without it pseudonyms can't be undone.
 
 No grouping and no join: a document's cost is its own length. Nulls: a null text stays null with no values found; empty texts stay empty.
@@ -42,9 +47,9 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without these has no value.
-HINT = r"[0-9@]|(?i:password|token|secret|api_key)"
+HINT = r"[0-9@]|AKIA|(?i:password|token|secret|api_key)"
 ROUNDS = 8
-#: Permutations of a card number within a longer candidate; each finds its run again with a chance of a few hundredths at least.
+#: Longest walk along a cycle for a card in a longer run of digits, where the condition holds for a few hundredths of the images at least; elsewhere it holds for a fifth or more.
 WALK = 1024
 #: Days of the 400 years from 1800-01-01, as 27 x 5411.
 DAYS = (27, 5411)
@@ -81,12 +86,26 @@ def _chars(x: str) -> str:
 
 
 def _permute_chars(x: str, kind: str, key: str, decrypt: bool) -> str:
-    """SQL: string `x` with letters and digits permuted within their class; hexadecimal strings within hexadecimal digits."""
+    """SQL: string `x` with letters and digits permuted within their class; letters of both cases are alike and each place keeps its case."""
     value = "CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 WHEN c BETWEEN 'a' AND 'z' THEN ascii(c) - 97 WHEN c BETWEEN 'A' AND 'Z' THEN ascii(c) - 65 ELSE 0 END"
-    radix = "CASE WHEN c BETWEEN '0' AND '9' THEN 10 WHEN c BETWEEN 'a' AND 'z' THEN l WHEN c BETWEEN 'A' AND 'Z' THEN 26 ELSE 1 END"
+    radix = "CASE WHEN c BETWEEN '0' AND '9' THEN 10 WHEN c BETWEEN 'a' AND 'z' OR c BETWEEN 'A' AND 'Z' THEN 26 ELSE 1 END"
     back = "CASE WHEN c BETWEEN '0' AND '9' THEN chr(48 + e) WHEN c BETWEEN 'a' AND 'z' THEN chr(97 + e) WHEN c BETWEEN 'A' AND 'Z' THEN chr(65 + e) ELSE c END"
     moved = _feistel(f"transform(y, c -> {value})", f"transform(y, c -> {radix})", kind, key, decrypt)
-    return _let(_chars(x), "y", _let(f"if(array_join(y, '') RLIKE '^[0-9a-f]+$', 6, 26)", "l", f"array_join(zip_with(y, {moved}, (c, e) -> {back}), '')"))
+    return _let(_chars(x), "y", f"array_join(zip_with(y, {moved}, (c, e) -> {back}), '')")
+
+
+def _permute_secret(x: str, key: str, decrypt: bool) -> str:
+    """SQL: string `x` permuted: one of lower-case hexadecimal digits over all such strings, any other like names, until it is not one of them."""
+    hexadecimal = "{} RLIKE '^[0-9a-f]+$'"
+    moved = _feistel("transform(y, c -> instr('0123456789abcdef', c) - 1)", "transform(y, c -> 16)", "hex", key, decrypt)
+    within = _let(_chars("sx"), "y", f"array_join(transform({moved}, e -> substr('0123456789abcdef', CAST(e AS INT) + 1, 1)), '')")
+    return _let(x, "sx", f"if({hexadecimal.format('sx')}, {within}, {_walk('sx', lambda v: _permute_chars(v, 'key', key, decrypt), lambda v: 'NOT ' + hexadecimal.format(v))})")
+
+
+def _walk(start: str, step: Callable[[str], str], holds: Callable[[str], str], most: int = 256) -> str:
+    """SQL: the first of step(start), step(step(start)), ... that `holds`; on a start that holds, a permutation of the values that do."""
+    walked = _let(step("wo.x"), "wy", f"named_struct('x', wy, 'done', coalesce({holds('wy')}, false))")
+    return f"aggregate(sequence(1, {most}), named_struct('x', {start}, 'done', false), (wo, wk) -> if(wo.done, wo, {walked}), wo -> wo.x)"
 
 
 def _refill(shape: str, chars: str, cls: str) -> str:
@@ -115,8 +134,7 @@ def _card_span(x: str) -> str:
 def _card(m: str, permuted: Callable[[str], str]) -> str:
     """SQL: `m` with its card number permuted until the same run of it would be found again, so that it can be undone."""
     whole = "concat(substr(cm, 1, cn.a - 1), {}, substr(cm, cn.b + 1))"
-    step = _let(permuted("co.x"), "cy", f"named_struct('x', cy, 'done', {_let(whole.format('cy'), 'cw', f'coalesce({_card_span("cw")} = cn, false)')})")
-    walk = f"aggregate(sequence(1, {WALK}), named_struct('x', substr(cm, cn.a, cn.b - cn.a + 1), 'done', false), (co, ck) -> if(co.done, co, {step}), co -> {whole.format('co.x')})"
+    walk = whole.format(_walk("substr(cm, cn.a, cn.b - cn.a + 1)", permuted, lambda x: _let(whole.format(x), "cw", f"{_card_span('cw')} = cn"), WALK))
     return _let(m, "cm", _let(_card_span("cm"), "cn", f"if(cn IS NULL, cm, {walk})"))
 
 
@@ -133,7 +151,7 @@ def _replacement(m: str, key: str, decrypt: bool) -> str:
 
     email = f"concat({_permute_chars(f'substring_index({m}, chr(64), 1)', 'email', key, decrypt)}, substr({m}, locate(chr(64), {m})))"
     head = f"if({m} LIKE 'AKIA%', 'AKIA', regexp_extract({m}, {_sql(chr(94) + '[A-Za-z_]+' + chr(92) + 's*[=:]' + chr(92) + 's*[' + chr(34) + chr(39) + ']?')}, 0))"
-    secret = _let(head, "u", f"concat(u, {_permute_chars(f'substr({m}, length(u) + 1)', 'key', key, decrypt)})")
+    secret = _let(head, "u", f"concat(u, {_permute_secret(f'substr({m}, length(u) + 1)', key, decrypt)})")
 
     card_new = _let(_permute_chars("substr(d, 1, length(d) - 1)", "card", key, decrypt), "w", f"concat(w, (10 - {_luhn('w', 1)}) % 10)")
     card = _card(m, lambda x: _let(f"regexp_replace({x}, '[^0-9]', '')", "d", _let(card_new, "f", _refill(x, "f", "[0-9]"))))
@@ -150,11 +168,12 @@ def _replacement(m: str, key: str, decrypt: bool) -> str:
     ssn = _let(digits, "d", _let(ssn_new, "f", _refill(m, "f", "[0-9]")))
     ssn_ok = _let(digits, "d", "substr(d, 1, 3) NOT IN ('000', '666') AND substr(d, 1, 1) <> '9' AND substr(d, 4, 2) <> '00' AND substr(d, 6, 4) <> '0000'")
 
-    # North American numbers: the last ten digits, area and exchange from 200 to 999; others: all digits but the first two
-    plan = "(length(d) = 10 OR (length(d) = 11 AND substr(d, 1, 1) = '1')) AND substr(d, -10, 1) >= '2' AND substr(d, -7, 1) >= '2'"
+    # North American numbers: the last ten digits, area and exchange from 200 to 999; others: all digits but the first two, walking until they are none of these
+    plan_ok = lambda d: f"((length({d}) = 11 AND substr({d}, 1, 1) = '1') OR (length({d}) = 10 AND {m} NOT LIKE '+%')) AND substr({d}, -10, 1) >= '2' AND substr({d}, -7, 1) >= '2'"
+    plan = plan_ok("d")
     plan_moved = feistel(f"array({n('substr(d, -10, 3)')} - 200, ({n('substr(d, -7, 3)')} - 200) * 10000 + {n('substr(d, -4, 4)')})", "array(800, 8000000)", "phone")
     plan_new = _let(plan_moved, "w", "concat(substr(d, 1, length(d) - 10), CAST(element_at(w, 1) + 200 AS STRING), CAST(element_at(w, 2) div 10000 + 200 AS STRING), lpad(CAST(element_at(w, 2) % 10000 AS STRING), 4, '0'))")
-    far_new = f"concat(substr(d, 1, 2), {_permute_chars('substr(d, 3)', 'phone', key, decrypt)})"
+    far_new = _walk("d", lambda x: f"concat(substr({x}, 1, 2), {_permute_chars(f'substr({x}, 3)', 'phone', key, decrypt)})", lambda x: f"NOT ({plan_ok(x)})")
     phone = _let(digits, "d", _let(f"if({plan}, {plan_new}, {far_new})", "f", _refill(m, "f", "[0-9]")))
     phone_ok = _let(digits, "d", f"length(d) BETWEEN 8 AND 15 AND ({m} LIKE '+%' OR ({plan}))")
 
@@ -171,14 +190,17 @@ def _replacement(m: str, key: str, decrypt: bool) -> str:
     day = f"CASE o WHEN 'ymd' THEN {ymd} WHEN 'dmy' THEN {dmy} WHEN 'mdy' THEN {mdy} END"
     day_no = f"datediff({day}, DATE'1800-01-01')"
     date_ok = _let(parts, "p", _let(order, "o", f"o <> '' AND coalesce({day_no} BETWEEN 0 AND {DAYS[0] * DAYS[1] - 1}, false)"))
-    moved = feistel(f"array(x div {DAYS[1]}, x % {DAYS[1]})", f"array({DAYS[0]}, {DAYS[1]})", "date")
+    moved = lambda x: _let(feistel(f"array({x} div {DAYS[1]}, {x} % {DAYS[1]})", f"array({DAYS[0]}, {DAYS[1]})", "date"), "w", f"element_at(w, 1) * {DAYS[1]} + element_at(w, 2)")
+    to_day = lambda x: f"date_add(DATE'1800-01-01', CAST({x} AS INT))"
+    narrow = lambda k, v: f"(length(element_at(p, {k})) = 2 OR {v} < 10)"
+    fits = lambda x: _let(to_day(x), "z", f"CASE o WHEN 'ymd' THEN {narrow(2, 'month(z)')} AND {narrow(3, 'day(z)')} WHEN 'dmy' THEN {narrow(1, 'day(z)')} AND {narrow(2, 'month(z)')} ELSE {narrow(1, 'month(z)')} AND day(z) > 12 END")
     sep = f"regexp_extract({m}, '[-/.]', 0)"
-    like = lambda k, v: f"if(length(element_at(p, {k})) = 1, CAST({v} AS STRING), lpad(CAST({v} AS STRING), 2, '0'))"
+    like = lambda k, v: f"lpad(CAST({v} AS STRING), length(element_at(p, {k})), '0')"
     write = (
         f"CASE o WHEN 'ymd' THEN concat_ws({sep}, year(y), {like(2, 'month(y)')}, {like(3, 'day(y)')}) "
         f"WHEN 'dmy' THEN concat_ws({sep}, {like(1, 'day(y)')}, {like(2, 'month(y)')}, year(y)) ELSE concat_ws({sep}, {like(1, 'month(y)')}, {like(2, 'day(y)')}, year(y)) END"
     )
-    date = _let(parts, "p", _let(order, "o", _let(f"CAST({day_no} AS BIGINT)", "x", _let(moved, "w", _let(f"date_add(DATE'1800-01-01', CAST(element_at(w, 1) * {DAYS[1]} + element_at(w, 2) AS INT))", "y", write)))))
+    date = _let(parts, "p", _let(order, "o", _let(f"CAST({day_no} AS BIGINT)", "x", _let(to_day(_walk("x", moved, fits)), "y", write))))
 
     made = [("email", "true", email), ("key", "true", secret), ("iban", iban_ok, iban), ("phone", phone_ok, phone), ("ssn", ssn_ok, ssn), ("date", date_ok, date), ("ip", ip_ok, ip), ("card", card_ok, card)]
     whens = " ".join(f"WHEN {is_(kind)} AND {ok} THEN named_struct('kind', '{kind}', 'value', {new})" for kind, ok, new in made)
