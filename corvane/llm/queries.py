@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,27 +83,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 def _license_sql() -> str:
-    """The same containment and phrases in SQL: every block against every template."""
+    """The same containment and phrases in SQL: every window of the whole text against every template."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    rows = []
-    for k, (label, text) in enumerate(licences.TEMPLATES):
-        own = sorted(set(licences.words_of(text)))
-        rows.append(f"({k}, '{label}', [{', '.join(repr(w) for w in own)}], {max(1, math.ceil(0.8 * len(own) - 1e-9))})")
+    listed = lambda ws: f"[{', '.join(repr(w) for w in sorted(ws))}]::VARCHAR[]"
+    shapes = [licences.shape(t, 0.8) for t in licences.TEMPLATES]
+    rows = [f"({k}, '{t.label}', {listed(t.words)}, {t.need}, {t.width}, {listed(t.must)}, {listed(t.without)})" for k, t in enumerate(shapes)]
     places = []
     for phrase, label in licences.PHRASES.items():
         test = " AND ".join(f"w[i + {n}] = '{w}'" for n, w in enumerate(phrase.split(), 1))
-        places.append(f"SELECT doc_id, unnest(list_filter(range(0, len(w)), lambda i: {test})) AS p, '{label}' AS label FROM w")
-    b, step = licences.BLOCK, licences.STEP
-    return f"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents), w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS w FROM d),
- pl AS ({' UNION ALL '.join(places)}), base AS (SELECT doc_id, count(*) AS n, min(p) AS first, max(p) AS last, list(DISTINCT label) AS ls FROM pl GROUP BY doc_id),
- ln AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d), lw AS (SELECT doc_id, regexp_extract_all(line, '{word}') AS v FROM ln),
- bl AS (SELECT doc_id, v AS b FROM lw WHERE len(v) BETWEEN 1 AND {b} UNION ALL SELECT doc_id, v[k + 1:k + {b}] FROM (SELECT doc_id, v, unnest(range(0, len(v) - {b - step}, {step})) AS k FROM lw WHERE len(v) > {b})),
- te(k, label, tw, need) AS (VALUES {', '.join(rows)}), hit AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), tw))::DOUBLE / len(tw) AS share FROM bl, te WHERE len(list_intersect(list_distinct(b), tw)) >= need),
- met AS (SELECT doc_id, count(*) AS n, max(share) AS share, list(DISTINCT label) AS ls FROM hit GROUP BY doc_id)
+        places.append(f"SELECT doc_id, rn, unnest(list_filter(range(0, len(w)), lambda i: {test})) AS p, '{label}' AS label FROM w")
+    return f"""WITH d AS (SELECT doc_id, row_number() OVER () AS rn, translate(coalesce(text, ''), '{upper}', '{upper.lower()}') AS t FROM documents), w AS MATERIALIZED (SELECT doc_id, rn, regexp_extract_all(t, '{word}') AS w FROM d),
+ pl AS ({' UNION ALL '.join(places)}), base AS (SELECT rn, count(*) AS n, min(p) AS first, max(p) AS last, list(DISTINCT label) AS ls FROM pl GROUP BY rn),
+ te(k, label, tw, need, width, must, without) AS (VALUES {', '.join(rows)}), held AS (SELECT rn, w, list_distinct(w) AS h FROM w),
+ cand AS MATERIALIZED (SELECT rn, k, w, label, tw, need, width, must, without FROM held, te WHERE len(list_intersect(h, tw)) >= need AND list_has_all(h, must)),
+ st AS (SELECT rn, k, label, tw, need, must, without, i, w[i + 1:i + width] AS b FROM (SELECT *, unnest(range(0, greatest(0, len(w) - width) + 1)) AS i FROM cand)),
+ hit AS (SELECT rn, k, i, label, len(list_intersect(list_distinct(b), tw))::DOUBLE / len(tw) AS share FROM st WHERE len(list_intersect(list_distinct(b), tw)) >= need AND list_has_all(b, must) AND NOT list_has_any(b, without)),
+ run AS (SELECT *, coalesce(lag(i) OVER (PARTITION BY rn, k ORDER BY i) <> i - 1, true) AS new FROM hit),
+ met AS (SELECT rn, count(*) FILTER (new) AS n, max(share) AS share, list(DISTINCT label) AS ls FROM run GROUP BY rn)
  SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(base.n, 0) AS n_base, base.first AS first_word, base.last AS last_word, coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.ls, []), coalesce(met.ls, [])))), ',') AS labels, greatest(CASE WHEN base.n > 0 THEN 1.0 ELSE 0.0 END, coalesce(met.share, 0.0))::DOUBLE AS score, coalesce(met.n, 0) AS n_matches
- FROM w LEFT JOIN base USING (doc_id) LEFT JOIN met USING (doc_id)"""
+ FROM w LEFT JOIN base USING (rn) LEFT JOIN met USING (rn)"""
 
 
 #: Water filling, highest quotients for sources and shards, and the seeded run of blocks.
