@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 The vocabulary is a public merge-type one (pieces with ranks and byte pieces). A text becomes the space mark and the text with spaces as
-marks; characters are merged by an agenda of adjacent pairs, best rank first. A candidate taken from the agenda is skipped when its keyed hash falls
-below the dropout rate; it comes back only if a neighbour's merge makes the pair anew. The hash is keyed by seed, variant, word, rank and
-place in the word; a run of 16 words has a variant drawn by seed, document and position from `variants` many, so the same word is cut in different ways, the same input always
-alike, and each cut is computed once a worker and kept (those not used lately go).
+marks; characters are merged by an agenda of adjacent pairs, best rank first, the leftmost of equals. A candidate taken from the agenda is skipped when its keyed hash falls
+below the dropout rate; it comes back only if a neighbour's merge makes the pair anew. The hash is keyed by seed, document, position of the word in the
+text and number of the candidate within the word, so every candidate of every occurrence is decided for itself: equal words are cut in many ways, and the same input
+always alike.
+
+How a word is cut depends on its letters and the answers its candidates get, so a worker computes each (word, answers) once and keeps it: first the cut without a skip,
+which most occurrences get, then those with skips. What is kept is bounded and changes no result.
 
 Decoding joins the pieces' bytes, turns marks into spaces and drops the first: the exact text. A literal mark in a text is spelt in byte pieces, so it stays itself.
 
 With dropout 0 the ids are those of the public library (texts without a literal mark).
 
-Nulls: a null text gives the ids of the empty text, an empty list; a null id draws its variants as id 0. Very long words take n log n steps. Repeated rows
+Nulls: a null text gives the ids of the empty text, an empty list; a null id counts as id 0. Very long words take n log n steps. Repeated rows
 yield equal rows; an empty table an empty one; columns named as an output are replaced, others pass through.
 """
 
@@ -31,30 +34,28 @@ from corvane.llm.common import bounded_batches, plus
 MARK = "▁"
 #: Runs of spaces with the word after them; line breaks and other white space stand alone or within words, they never merge with letters in this vocabulary.
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-#: Words in one generation of the cuts a worker keeps for all tasks of equal parameters; there are two generations.
-_KEEP = 450_000
-_KEPT: dict[tuple, list[list[dict[str, bytes]]]] = {}
+#: Cuts in one generation of those a worker keeps for all tasks of equal parameters; there are two generations.
+_KEEP = 400_000
+_KEPT: dict[tuple, list] = {}
 #: Words up to this length are merged many at a time.
 _SHORT = 32
-_BITS = 2**64 - 1
 _NEVER = np.int32(2**31 - 1)
-#: The order of the variants along a text: one long fixed sequence, entered at a place drawn by seed and document.
-_CYCLE = 65_521
-#: Words in a row that share a variant.
-_RUN = 16
+#: Candidates of a word whose answers are found for all occurrences at once; a word that asks more goes on by itself.
+_ASKED = 24
+_GOLDEN, _MIX, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 class Merger:
     """Encoder and decoder over one vocabulary file."""
 
-    def __init__(self, model_file: str, dropout: float = 0.1, seed: int = 0, variants: int = 4):
-        if not 0 <= dropout <= 1 or variants < 1:
-            raise ValueError("dropout lies in [0, 1], variants is positive")
-        self.model_file, self.dropout, self.seed, self.variants = model_file, dropout, seed, variants if dropout else 1
+    def __init__(self, model_file: str, dropout: float = 0.1, seed: int = 0):
+        if not 0 <= dropout <= 1:
+            raise ValueError("dropout lies in [0, 1]")
+        self.model_file, self.dropout, self.seed = model_file, dropout, seed
         self._piece: dict[str, int] | None = None
 
     def __getstate__(self) -> dict:
-        return {k: getattr(self, k) for k in ("model_file", "dropout", "seed", "variants")} | {"_piece": None}
+        return {k: getattr(self, k) for k in ("model_file", "dropout", "seed")} | {"_piece": None}
 
     def _load(self) -> None:
         import sentencepiece
@@ -70,12 +71,8 @@ class Merger:
                 self._piece[p], self._rank[p] = i, -m.get_score(i)
                 self._bytes[i] = p.replace(MARK, " ").encode("utf-8")
         self._table = pa.array(self._bytes, pa.binary())
-        self._kept = _KEPT.setdefault((self.model_file, self.dropout, self.seed, self.variants), [[{} for _ in range(self.variants)] for _ in range(2)])
-        x, order = 1, bytearray()
-        for _ in range(_CYCLE):
-            x = (x * 17_364 + 1) % _CYCLE
-            order.append(x % self.variants)
-        self._order = bytes(order)
+        # word -> (cut without a skip, candidates it asks); (word, answers) -> cut
+        self._kept = _KEPT.setdefault((self.model_file, self.dropout), [{}, {}, {}, {}, 0])
         # characters and pairs as numbers, for merging many words at a time
         self._char = np.full(0x110000, -1, np.int32)
         pairs = []
@@ -111,78 +108,121 @@ class Merger:
         return np.frombuffer(self.encode_all([text], [doc_id])[0], np.int32).tolist()
 
     def encode_all(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
-        """The ids of each text, as bytes of int32. Words not met lately are merged together."""
+        """The ids of each text, as bytes of int32. Cuts not met lately are computed together."""
         if self._piece is None:
             self._load()
-        young, old = self._kept
-        gets, order, n = [d.get for d in young], self._order, self.variants
-        missing: list[set[str]] = [set() for _ in range(n)]
-        rows = []
-        for t, i in zip(texts, doc_ids):
-            words = _WORDS.findall(" " + t) if t else []
-            at = xxhash.xxh64_intdigest(f"{self.seed}:{i or 0}") % _CYCLE
-            runs = [order[(at + c) % _CYCLE] for c in range((len(words) + _RUN - 1) // _RUN)]
-            got: list[bytes | None] = []
-            for c, v in enumerate(runs):
-                got += map(gets[v], words[c * _RUN : (c + 1) * _RUN])
-            gaps = [k for k, g in enumerate(got) if g is None]
-            for k in gaps:
-                missing[runs[k // _RUN]].add(words[k])
-            rows.append((words, runs, got, gaps))
-        fresh: list[dict[str, bytes]] = []
-        for v, want in enumerate(missing):
-            have = {w: cut for w in want if (cut := old[v].get(w)) is not None}
-            new = [(v, w) for w in want if w not in have]
-            have.update(zip([w for _, w in new], self._cut(new)))
-            fresh.append(have)
-        out = []
-        for words, runs, got, gaps in rows:
-            for k in gaps:
-                got[k] = fresh[runs[k // _RUN]][words[k]]
-            out.append(b"".join(got))
-        if sum(map(len, young)) + sum(map(len, fresh)) > _KEEP:
-            self._kept[:] = [[{} for _ in range(n)], young]
-            young = self._kept[0]
-        for own, more in zip(young, fresh):
-            for w in [w for w in more if len(w) > 64]:
-                del more[w]
-            own.update(more)
+        split = [_WORDS.findall(" " + t) if t else [] for t in texts]
+        ends = np.cumsum([0, *map(len, split)])
+        flat = [w for words in split for w in words]
+        plain = self._plain(flat)
+        cuts = [c for c, _ in plain]
+        if self.dropout and flat:
+            asked = np.fromiter((n for _, n in plain), np.int64, len(plain))
+            keys = np.concatenate([self._places(i, len(words)) for i, words in zip(doc_ids, split)])
+            changed = np.nonzero(self._any_skip(keys, asked))[0]
+            for k, cut in zip(changed.tolist(), self._varied([flat[k] for k in changed.tolist()], keys[changed])):
+                cuts[k] = cut
+        return [b"".join(cuts[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+    def _places(self, doc_id: int | None, n: int) -> np.ndarray:
+        """A key for each of a document's n word positions, by seed and document."""
+        start = np.uint64(xxhash.xxh64_intdigest(f"{self.seed}:{doc_id or 0}"))
+        return _mixed(start + np.arange(n, dtype=np.uint64) * np.uint64(_GOLDEN))
+
+    def _skip(self, keys: np.ndarray, asked: np.ndarray | int) -> np.ndarray:
+        """Whether the candidates of these numbers are skipped at the occurrences of these keys."""
+        if self.dropout == 1:
+            return np.ones(len(keys), bool)
+        return _mixed(keys + (np.uint64(1) + np.atleast_1d(asked).astype(np.uint64)) * np.uint64(_MIX2)) < np.uint64(int(self.dropout * 2**64))
+
+    def _any_skip(self, keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Whether one of the first `asked` candidates is skipped."""
+        order = np.argsort(-asked, kind="stable")
+        ordered, n, out = keys[order], asked[order], np.zeros(len(keys), bool)
+        for t in range(int(n[0])):
+            live = int(np.searchsorted(-n, -t, side="left"))  # those that ask more than t
+            out[:live] |= self._skip(ordered[:live], t)
+        back = np.empty(len(keys), bool)
+        back[order] = out
+        return back
+
+    def _plain(self, words: list[str]) -> list[tuple[bytes, int]]:
+        """The cut of each word without a skip, and how many candidates it asks."""
+        young, old = self._kept[0], self._kept[1]
+        got = list(map(young.get, words))
+        if None in got:
+            want = list(dict.fromkeys([w for w, g in zip(words, got) if g is None]))
+            have = {w: c for w in want if (c := old.get(w)) is not None}
+            new = [w for w in want if w not in have]
+            have.update(zip(new, self._cut(new, None)))
+            got = [have[w] if g is None else g for w, g in zip(words, got)]
+            self._remember(0, have)
+        return got
+
+    def _varied(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+        """The cut of each word under the answers of its occurrence."""
+        answers = np.zeros(len(keys), np.int64)
+        for t in range(_ASKED):
+            answers |= self._skip(keys, t).astype(np.int64) << t
+        young, old = self._kept[2], self._kept[3]
+        out: list[bytes | None] = []
+        missing: dict[tuple[str, int], list[int]] = {}
+        for k, (w, a) in enumerate(zip(words, answers.tolist())):
+            # the cuts of a word by its first answers: a number of answers that settles the cut, and the answers themselves
+            tree = young.get(w) or old.get(w)
+            cut = None
+            if tree is not None:
+                for n, known in tree.items():
+                    cut = known.get(a & ((1 << n) - 1))
+                    if cut is not None:
+                        break
+            out.append(cut)
+            if cut is None:
+                missing.setdefault((w, a), []).append(k)
+        if missing:
+            spots = [p for p in missing.values()]
+            made = self._cut([w for w, _ in missing], keys[[p[0] for p in spots]])
+            fresh: dict[str, dict[int, dict[int, bytes]]] = {}
+            for (w, a), places, (cut, n) in zip(missing, spots, made):
+                if n <= _ASKED:
+                    tree = fresh.get(w)
+                    if tree is None:
+                        tree = fresh[w] = young.get(w) or old.get(w) or {}
+                    tree.setdefault(n, {})[a & ((1 << n) - 1)] = cut
+                    for k in places:
+                        out[k] = cut
+                else:  # further answers differ by occurrence
+                    for k, (own, _) in zip(places, [(cut, n), *self._cut([w] * (len(places) - 1), keys[places[1:]])]):
+                        out[k] = own
+            self._remember(2, fresh)
         return out
 
-    def _cut(self, keys: list[tuple[int, str]]) -> list[bytes]:
-        """The ids of each (variant, word)."""
-        cuts: list[bytes] = [b""] * len(keys)
-        short = [k for k, (_, w) in enumerate(keys) if 1 < len(w) <= _SHORT and MARK not in w]
-        short.sort(key=lambda k: len(keys[k][1]))  # words of like length make narrow tables
+    def _remember(self, kind: int, fresh: dict) -> None:
+        """Keep these cuts; a full generation takes the place of the one before it."""
+        kept = self._kept
+        size = len(kept[0]) if kind == 0 else kept[4]
+        if size + len(fresh) > _KEEP:
+            kept[kind], kept[kind + 1] = {}, kept[kind]
+            kept[4] = kept[4] if kind == 0 else 0
+        if kind:  # at most: a word met again counts its cuts again
+            kept[4] += sum(sum(map(len, t.values())) if w not in kept[2] else 1 for w, t in fresh.items())
+        kept[kind].update((w, c) for w, c in fresh.items() if len(w) <= 64)
+
+    def _cut(self, words: list[str], keys: np.ndarray | None) -> list[tuple[bytes, int]]:
+        """The ids of each word at the occurrence of its key (None: without skips), and how many candidates were asked."""
+        cuts: list[tuple[bytes, int] | None] = [None] * len(words)
+        short = [k for k, w in enumerate(words) if 1 < len(w) <= _SHORT and MARK not in w]
+        short.sort(key=lambda k: len(words[k]))  # words of like length make narrow tables
         for at in range(0, len(short), 4096):
             part = short[at : at + 4096]
-            for k, cut in zip(part, self._together([keys[k][1] for k in part], [keys[k][0] for k in part])):
+            for k, cut in zip(part, self._together([words[k] for k in part], None if keys is None else keys[part])):
                 cuts[k] = cut
-        for k, (v, w) in enumerate(keys):
-            if not cuts[k]:
-                cuts[k] = np.array(self._merge(w, v), np.int32).tobytes()
+        for k, w in enumerate(words):
+            if cuts[k] is None:
+                ids, n = self._merge(w, None if keys is None else keys[k])
+                cuts[k] = (np.array(ids, np.int32).tobytes(), n)
         return cuts
 
-    @property
-    def _cutoff(self) -> int:
-        """Hashes below it skip; with dropout 1 none is left out."""
-        return min(int(self.dropout * 2**64), _BITS)
-
-    def _keyed(self, word: str, variant: int) -> int:
-        return xxhash.xxh64_intdigest(word, self.seed * 1_000_003 + variant)
-
-    def _skips(self, word: str, variant: int):
-        """The keyed decision on a candidate: by seed, variant and word, the place of its left part and its rank."""
-        cut = self._cutoff
-        h = self._keyed(word, variant)
-
-        def skip(place: int, rank: float) -> bool:
-            x = (h ^ (place * 0x9E3779B97F4A7C15 + int(rank) * 0xC2B2AE3D27D4EB4F)) & _BITS
-            x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _BITS
-            return x ^ (x >> 32) < cut
-
-        return skip if cut else None
-
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each merged pair; _NEVER where there is none."""
         key = (a.astype(np.int64) << 32) + b
@@ -197,8 +237,8 @@ class Merger:
         hit = self._pair[k] == key
         return np.where(hit, self._pair_rank[k], _NEVER), self._pair_id[k]
 
-    def _together(self, words: list[str], variants: list[int]) -> list[bytes]:
-        """Many short words at once, one row each: every turn takes each row's best candidate off its agenda, and skips or merges it."""
+    def _together(self, words: list[str], keys: np.ndarray | None) -> list[tuple[bytes, int] | None]:
+        """Many short words at once, one row each: every turn takes each row's best candidate off its agenda, and skips or merges it. None: to be spelt."""
         m, width = len(words), max(map(len, words))
         size = np.fromiter(map(len, words), np.int64, m)
         flat = np.frombuffer("".join(words).replace(" ", MARK).encode("utf-32-le"), np.uint32)
@@ -214,22 +254,18 @@ class Merger:
         before[:, 0] = width + 1
         alive = np.zeros((m, width), bool)
         alive[inside] = True
-        keyed = np.fromiter((self._keyed(w, v) for w, v in zip(words, variants)), np.uint64, m)
-        cut = np.uint64(self._cutoff)
-        rows = np.arange(m)
+        rows, asked = np.arange(m), np.zeros(m, np.int64)
         while len(rows):
             k = rank[rows].argmin(axis=1)
-            best = rank[rows, k]
-            open_ = best < _NEVER
-            rows, k, best = rows[open_], k[open_], best[open_]
-            if cut and len(rows):
-                x = keyed[rows] ^ (k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + best.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                skip = (x ^ (x >> np.uint64(32))) < cut
+            open_ = rank[rows, k] < _NEVER
+            rows, k = rows[open_], k[open_]
+            if keys is not None and len(rows):
+                skip = self._skip(keys[rows], asked[rows])
                 rank[rows[skip], k[skip]] = _NEVER
                 r, k = rows[~skip], k[~skip]
             else:
                 r = rows
+            asked[rows] += 1
             right = after[r, k]
             beyond, left = after[r, right], before[r, k]
             piece[r, k] = made[r, k]
@@ -243,33 +279,40 @@ class Merger:
         ends = np.cumsum(alive.sum(axis=1)).tolist()
         data, spelt = ids.tobytes(), np.zeros(m, bool)
         spelt[np.nonzero(alive & (piece[:, :width] == -1))[0]] = True
-        return [b"" if s else data[4 * a : 4 * b] for a, b, s in zip([0, *ends], ends, spelt.tolist())]
+        return [None if s else (data[4 * a : 4 * b], n) for a, b, s, n in zip([0, *ends], ends, spelt.tolist(), asked.tolist())]
 
-    def _merge(self, word: str, variant: int) -> list[int]:
+    def _merge(self, word: str, key: np.uint64 | None) -> tuple[list[int], int]:
         """One word of any length: a heap of candidates over linked parts. A literal mark stays alone; parts that are no piece are spelt in bytes."""
-        skip = self._skips(word, variant)
         rank_of = self._rank.get
         parts: list[str | None] = [MARK if c == " " else c for c in word]
         literal = {k for k, c in enumerate(word) if c == MARK}
         n = len(parts)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, str]] = []
+        left, right, made_of = list(range(-1, n - 1)), list(range(1, n + 1)), [0] * n
+        agenda: list[tuple[float, int, int]] = []
+        asked, answers = 0, np.zeros(0, bool)
 
         def propose(a: int, b: int) -> None:
-            if a >= 0 and b < n and a not in literal and b not in literal:
-                made = parts[a] + parts[b]
-                r = rank_of(made)
-                if r is not None:
-                    heapq.heappush(agenda, (r, a, made))
+            if a >= 0:
+                made_of[a] += 1  # what was proposed for this place before is void
+                if b < n and a not in literal and b not in literal:
+                    r = rank_of(parts[a] + parts[b])
+                    if r is not None:
+                        heapq.heappush(agenda, (r, a, made_of[a]))
 
         for k in range(n - 1):
             propose(k, k + 1)
         while agenda:
-            rank, k, made = heapq.heappop(agenda)
-            r = right[k]
-            if parts[k] is None or r >= n or parts[k] + parts[r] != made or (skip is not None and skip(k, rank)):
+            _, k, stamp = heapq.heappop(agenda)
+            if parts[k] is None or stamp != made_of[k]:
+                continue
+            if key is not None and asked == len(answers):
+                more = np.arange(asked, max(32, 2 * asked))
+                answers = np.concatenate([answers, self._skip(np.full(len(more), key, np.uint64), more)])
+            asked += 1
+            if key is not None and answers[asked - 1]:
                 continue
-            parts[k], parts[r] = made, None
+            r = right[k]
+            parts[k], parts[r] = parts[k] + parts[r], None
             right[k] = right[r]
             if right[r] < n:
                 left[right[r]] = k
@@ -280,7 +323,7 @@ class Merger:
             if p is not None:
                 i = None if k in literal else self._piece.get(p)
                 out += [self._spell[b] for b in p.encode("utf-8", "surrogatepass")] if i is None else [i]
-        return out
+        return out, asked
 
     def decode(self, ids: list[int]) -> str:
         if self._piece is None:
@@ -301,6 +344,13 @@ class Merger:
         return [bytes(data[a:b])[1:].decode("utf-8", "surrogatepass") if ok else None for a, b, ok in zip(at, at[1:], valid)]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX2)
+    return x ^ (x >> np.uint64(31))
+
+
 def encode(docs: DataFrame, merger: Merger, out: str = "ids", doc_id: str = "doc_id", text: str = "text", verified: str | None = None) -> DataFrame:
     """All columns of `docs` and the piece ids in `out` (array of int).
 
