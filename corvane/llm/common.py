@@ -25,13 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for very long texts, and let Python workers find this package where the driver did."""
+    """Keep Arrow batches small enough for very long texts, and let Python workers find this package where the driver did.
+
+    The size is lowered, never raised, and stays for the session: results are lazy, so a caller may run them at any later time.
+    """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in known:
         env["PYTHONPATH"] = os.pathsep.join([root, *known])
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def plus(df: DataFrame, **columns: str) -> StructType:
@@ -43,10 +49,12 @@ def plus(df: DataFrame, **columns: str) -> StructType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: `spark.checkpoint.dir`; where that is unset, a temporary one, and only if all tasks run in this process's machine."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = getattr(spark.sparkContext, "_corvane_dir", None)
         if not found:
             found = tempfile.mkdtemp(prefix="corvane-")
@@ -58,14 +66,23 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation. The table goes when the application ends.
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation. The table goes with `release`, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corvane_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote and nothing reads any more."""
+    for t in tables:
+        where = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._corvane_path)
+        where.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fold_of(doc_id: Column, n: int) -> Column:

@@ -1,16 +1,16 @@
-"""Near-dedup by an exact set-similarity join: groups of texts whose word shingles have a Jaccard similarity of at least `least`.
+"""An exact set-similarity join: links between texts whose word shingles have a Jaccard similarity of at least `least`.
 
 A text's set holds the XXH64 values of its shingles. Under any total order of the shingles two sets of that similarity share one of each one's
 first size - ceil(least * size) + 1, so only those are dealt out and met by equal shingle; sizes that can't reach the similarity are passed over. The
 order puts shingles held by many last, by counts from a sample of the texts: the sample shortens the search and can't change the result.
 
-Groups are connected components, so not every pair of a large group is needed:
-    first   each holder of a shingle is met with the shingle's first holder;
-    then    all holders of a shingle that are not yet in one component are met with each other.
-Each such pair is verified by its whole sets, read from the texts. A group of near copies costs a pair a text and shingle; no pair is capped or left out.
+Links are wanted only as far as they connect, so not every pair of a large group is needed:
+    given   pairs found otherwise (by fingerprints) are verified first;
+    twice   each text meets one holder of another component: the first holder of a shingle that it shares most shingles with;
+    then    all holders of a shingle that are not yet in one component meet.
+Each such pair is verified by its whole sets, read from the texts. A group of near copies costs a few pairs a text; no pair is capped or left out.
 
-Equal texts collapse first (by a 64-bit hash). Nulls: a null text is the empty text; texts without words are equal to each other and to no other. A null id
-keeps its row and is ignored by the minimum. Repeated rows yield repeated result rows, empty tables empty results; other columns are ignored.
+Equal texts are one text (by a 64-bit hash). A text without words is equal to others without words and to no other.
 """
 
 from __future__ import annotations
@@ -20,31 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_batches, materialize
-from corvane.llm.simhash import components
+from corvane.llm.common import bounded_batches, materialize, release
+from corvane.llm.components import components
+from corvane.llm.simhash import majority, shingle_hashes
 
 #: Texts of the sample, and shingles ordered by their count there.
 SAMPLE, ORDERED = 20_000, 2**17
-#: Pairs of one Arrow batch.
-PAIRS = 2**16
+#: Rounds in which each text meets one holder only.
+ROUNDS = 2
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles; a shorter text is one shingle, a text without words has none."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, np.int64)
-    line, n = b" ".join(tokens), max(1, len(tokens) - words + 1)
-    if n == 1:
-        return np.array([xxhash.xxh64_intdigest(line)], np.uint64).view(np.int64)
-    at = np.zeros(len(tokens) + 1, dtype=np.int64)
-    np.cumsum([len(t) + 1 for t in tokens], out=at[1:])
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(at[:n].tolist(), (at[words : words + n] - 1).tolist())), np.uint64, n).view(np.int64))
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, words).view(np.int64))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -78,11 +69,25 @@ def often_held(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return found["token"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> DataFrame:
-    """Those of the pairs of keys (a, b) whose texts reach the similarity."""
-    pairs = materialize(pairs, "jaccard-pairs")
-    needed = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    held = materialize(texts.join(needed, "key", "left_semi").dropDuplicates(["key"]).select("key", "text"), "jaccard-texts")
+def heads(texts: DataFrame, least: float, words: int) -> DataFrame:
+    """(key, size, code, firsts) of each distinct text: the size of its set, its fingerprint, and the shingles it is met by."""
+    bounded_batches(texts.sparkSession)
+    common, counts = often_held(texts, words)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingle_hashes(t, words) for t in b.column(1).to_pylist()]
+            codes = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            sets = [np.unique(h.view(np.int64)) for h in hashes]
+            firsts = [prefix(s, common, counts, least) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(codes), lists], ["key", "size", "code", "firsts"])
+
+    return texts.mapInArrow(work, "key long, size int, code long, firsts array<long>").dropDuplicates(["key"])
+
+
+def verified(pairs: DataFrame, held: DataFrame, least: float, words: int) -> DataFrame:
+    """Those of the pairs of keys (a, b) whose texts, of `held` (key, text), reach the similarity."""
     met = pairs.join(held.select(F.col("key").alias("b"), F.col("text").alias("right")), "b").join(held.select(F.col("key").alias("a"), F.col("text").alias("left")), "a")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,60 +103,47 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> Da
     return materialize(met.select("a", "b", "left", "right").mapInArrow(work, "a long, b long"), "jaccard-links")
 
 
-def links(texts: DataFrame, least: float = 0.8, words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of keys, connected exactly as all pairs of at least that similarity are, and their components (code, doc: the smallest key)."""
-    bounded_batches(texts.sparkSession)
-    common, counts = often_held(texts, words)
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, words) for t in b.column(1).to_pylist()]
-            firsts = [prefix(s, common, counts, least) for s in sets]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), lists], ["key", "size", "firsts"])
-
-    dealt = texts.select("key", "text").mapInArrow(heads, "key long, size int, firsts array<long>").dropDuplicates(["key"])
-    rows = materialize(dealt, "jaccard-heads").select(F.explode("firsts").alias("token"), "key", "size")
-    several = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
-    shared = materialize(rows.join(several, "token"), "jaccard-shared")
+def connected(texts: DataFrame, heads: DataFrame, close: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
+    """(code, doc): each key that has a link, and the smallest key of its component. `close` (a, b) are pairs of keys likely to be alike."""
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-12)
-
-    firsts = shared.groupBy("token").agg(F.min(F.struct("key", "size")).alias("low"))
-    stars = shared.join(firsts, "token").where((F.col("key") > F.col("low.key")) & near(F.col("size"), F.col("low.size")))
-    one = verified(stars.select(F.col("low.key").alias("a"), F.col("key").alias("b")).distinct(), texts, least, words)
-    keys = shared.select(F.col("key").alias("code"), F.col("key").alias("doc")).distinct()
-    label = materialize(components(keys, one), "jaccard-labels")
-
-    # what the first round left apart; a component's own members need not meet again
-    told = shared.join(label.select(F.col("code").alias("key"), F.col("doc").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = told.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    groups = told.join(mixed, "token").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("label", "size", "key"))).alias("m"))
-
-    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for m in batch.column(0):
-                got = m.values.flatten() if hasattr(m.values, "flatten") else m.values
-                tag, size, key = (c.to_numpy(zero_copy_only=False) for c in got)
-                stops = np.searchsorted(tag, tag, side="right")
-                for i in range(len(key)):
-                    j = stops[i]
-                    others = key[j:][np.minimum(size[j:], size[i]) >= np.maximum(size[j:], size[i]) * (least - 1e-12)]
-                    for k in range(0, len(others), PAIRS):
-                        part = others[k : k + PAIRS]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(part, key[i])), pa.array(np.maximum(part, key[i]))], ["a", "b"])
-
-    rest = groups.select("m").mapInArrow(apart, "a long, b long").distinct()
-    two = verified(rest.join(one, ["a", "b"], "left_anti"), texts, least, words)
-    if two.isEmpty():
-        return one, label
-    both = one.unionByName(two)
-    return both, components(keys, both)
-
-
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, words: int = 5) -> DataFrame:
-    """One row per row of `docs`: doc_id, component_id (smallest id reachable, itself included)."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    _, found = links(rows.select("key", "text"), least, words)
-    ids = materialize(rows.select("doc_id", "key"), "jaccard-ids").join(found.select(F.col("code").alias("key"), F.col("doc").alias("root")), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    lowest = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return ids.join(lowest, "root").select("doc_id", "component_id")
+    tried = materialize(close.select(*ordered("a", "b")).distinct(), "jaccard-close")
+    rows = heads.select(F.explode("firsts").alias("token"), "key", "size")
+    several = materialize(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token"), "jaccard-several")
+    shared = materialize(rows.join(several, "token"), "jaccard-shared")
+    release(several)
+    needed = shared.select("key").unionByName(tried.select(F.col("a").alias("key"))).unionByName(tried.select(F.col("b").alias("key"))).distinct()
+    held = materialize(texts.join(needed, "key", "left_semi").dropDuplicates(["key"]), "jaccard-texts")
+    keys = heads.select(F.col("key").alias("code"), F.col("key").alias("doc"))
+
+    links = verified(tried, held, least, words)
+    label = components(keys, links)
+    told = lambda: shared.join(label.select(F.col("code").alias("key"), F.col("doc").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    for _ in range(ROUNDS):
+        now = materialize(told(), "jaccard-told")
+        low = now.groupBy("token").agg(F.min(F.struct("label", "key", "size")).alias("low"), F.max("label").alias("high")).where(F.col("low.label") < F.col("high")).select("token", "low")
+        low = materialize(low, "jaccard-low")
+        star = now.join(low, "token").where((F.col("label") != F.col("low.label")) & near(F.col("size"), F.col("low.size")))
+        star = star.groupBy("key", F.col("low.key").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+        one = star.groupBy("key").agg(F.max_by("other", F.struct("n", "other")).alias("other")).select(*ordered("key", "other")).distinct()
+        one = materialize(one.join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        release(now, low)
+        if one.isEmpty():
+            break
+        more = verified(one, held, least, words)
+        tried = tried.unionByName(one)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            label = components(keys, links)
+
+    # what is left apart; a component's own members need not meet again
+    now = materialize(told(), "jaccard-told")
+    mixed = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    mixed = materialize(now.join(mixed, "token"), "jaccard-mixed")
+    left, right = (mixed.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "label")]) for side in "xy")
+    rest = left.join(right, "token").where((F.col("label_x") < F.col("label_y")) & near(F.col("size_x"), F.col("size_y")))
+    rest = materialize(rest.select(*ordered("key_x", "key_y")).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+    release(now, mixed, shared)
+    more = verified(rest, held, least, words)
+    release(held)
+    return label if more.isEmpty() else components(keys, links.unionByName(more))

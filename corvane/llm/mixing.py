@@ -94,7 +94,7 @@ def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", *, share: float = 1.5, repeats: int = 2,
     weights: tuple[int, ...] = WEIGHTS, block: int = 16, shard_words: int = 1 << 17, shard_rows: int = 4096, most_shards: int = 1 << 16, seed: int = 7,
 ) -> DataFrame:
-    """Per row of `docs`: doc_id, size, source, source_size, target, laps, first, last, taken (long).
+    """Per row of `docs`: doc_id, size, source, source_size, target, spot, start, laps, first, last, wrap, taken (long).
 
     The mix takes the whole text `laps` times and its words [first, last) and [0, wrap) once more (the run may wrap around the shard's end).
     """
@@ -135,6 +135,6 @@ def mix(
         .withColumn("wrap", F.least("size", F.greatest(F.lit(0), F.col("end") - F.col("shard_size") - F.col("start"))))
     )
     return placed.select(
-        "doc_id", "source", "size", "source_size", "target", "spot", *[F.col(c).cast("long").alias(c) for c in ("laps", "first", "last", "wrap")],
+        "doc_id", "source", "size", "source_size", "target", "spot", *[F.col(c).cast("long").alias(c) for c in ("start", "laps", "first", "last", "wrap")],
         (F.col("laps") * F.col("size") + F.col("last") - F.col("first") + F.col("wrap")).cast("long").alias("taken"),
     )

@@ -8,8 +8,8 @@ bits with <phi(i), v> = 1. At most `radius` differing positions span a proper su
 them: every pair within the radius agrees on every kept bit of some table. No pair is missed, whatever the data.
 
 Within a bucket nothing is quadratic: small buckets (at most `SMALL_BUCKET` distinct fingerprints) compare their members; in
-larger ones two members are linked when they share a code that is at most radius/2 flips away from both
-(radius 2: one flip), which is the same relation, and at most 65 fingerprints can share such a code.
+larger ones two members are linked when they share a code that is at most one flip away from both (radius 1: one of them is that
+code), which is the same relation, and at most 65 fingerprints can share such a code.
 
 Copies collapse to one fingerprint before any search, so a group of equal texts costs one row per text.
 
@@ -28,33 +28,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_batches, materialize, plus
+from corvane.llm.common import bounded_batches, materialize, plus, release
+from corvane.llm.components import components
 
 #: Distinct fingerprints up to which a bucket's members are compared one by one.
 SMALL_BUCKET = 24
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
+def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """The XXH64 values of the text's shingles, in order, repeats included; a shorter text is one shingle, a text without words has none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
-    line = b" ".join(tokens)
-    n = max(1, len(tokens) - words + 1)
+        return np.zeros(0, np.uint64)
+    line, n, digest = b" ".join(tokens), max(1, len(tokens) - words + 1), xxhash.xxh64_intdigest
     if n == 1:
-        hashes = np.array([xxhash.xxh64_intdigest(line, seed)], dtype=np.uint64)
-    else:
-        at = np.zeros(len(tokens) + 1, dtype=np.int64)
-        np.cumsum([len(t) + 1 for t in tokens], out=at[1:])
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter(
-            (digest(line[a:b], seed) for a, b in zip(at[:n].tolist(), (at[words : words + n] - 1).tolist())), np.uint64, n
-        )
+        return np.array([digest(line, seed)], dtype=np.uint64)
+    at = np.zeros(len(tokens) + 1, dtype=np.int64)
+    np.cumsum([len(t) + 1 for t in tokens], out=at[1:])
+    return np.fromiter((digest(line[a:b], seed) for a, b in zip(at[:n].tolist(), (at[words : words + n] - 1).tolist())), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those set in over half of the hashes."""
     counts = np.zeros(64, dtype=np.int64)
-    for part in range(0, n, 4096):
+    for part in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[part : part + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """The unsigned 64-bit fingerprint of one text."""
+    return majority(shingle_hashes(text, words, seed))
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint", words: int = 3, seed: int = 42) -> DataFrame:
@@ -83,8 +88,8 @@ def covering_masks(radius: int, bits: int = 64) -> list[int]:
 def links(codes: DataFrame, radius: int = 2, small: int = SMALL_BUCKET) -> DataFrame:
     """Links (a, b), a < b, of distinct fingerprints `code` within `radius` bits; connected exactly as all such pairs are.
 
-    Small buckets give every pair within the radius. In larger ones members that share a midpoint are linked to its smallest member,
-    so the components are those of all pairs, though not every pair is a row.
+    Small buckets give every pair within the radius. In larger ones members that share a midpoint are linked to its smallest member (radius 2) or to the
+    member that is the midpoint (radius 1), so the components are those of all pairs, though not every pair is a row. `small` changes no component.
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
@@ -108,48 +113,48 @@ def links(codes: DataFrame, radius: int = 2, small: int = SMALL_BUCKET) -> DataF
         .where(F.col("flip").bitwiseAND(F.col("mask")) == 0)
         .select("tab", "code", F.col("code").bitwiseXOR(F.col("flip")).alias("mid"))
     )
-    if radius < 2:  # one flip joins codes two bits apart; with a smaller radius the pairs themselves are tested
-        raise_by = F.lit(radius)
-    else:
-        raise_by = F.lit(2)
-    stars = (
-        around.groupBy("tab", "mid").agg(F.sort_array(F.collect_list("code")).alias("m")).where(F.size("m") > 1)
-        .select(F.expr("m[0]").alias("a"), F.explode(F.expr("slice(m, 2, size(m))")).alias("b"))
-        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= raise_by)
-    )
+    met = around.groupBy("tab", "mid").agg(F.sort_array(F.collect_list("code")).alias("m")).where(F.size("m") > 1)
+    if radius == 2:  # all that share a midpoint are within two flips of each other
+        star = met.select(F.expr("m[0]").alias("hub"), F.explode(F.expr("slice(m, 2, size(m))")).alias("code"))
+    else:  # within one flip of each other are only a member that is the midpoint itself and each of the others
+        star = met.where(F.array_contains("m", F.col("mid"))).select(F.col("mid").alias("hub"), F.explode(F.array_remove("m", F.col("mid"))).alias("code")).where(F.lit(radius == 1))
+    stars = star.select(F.least("hub", "code").alias("a"), F.greatest("hub", "code").alias("b"))
     return direct.unionByName(stars).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components by smallest-label propagation with pointer jumping.
-
-    `nodes` (code, doc) holds the smallest id of each fingerprint; `edges` (a, b). Returns (code, doc) with the smallest id of
-    the component, for codes that have an edge. Nodes keep at most the edges of their radius, so no node is a hub; each round is
-    written to the shared folder, so lineage stays short and a lost executor repeats one round at most.
-    """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "simhash-edges")
-    ends = both.select(F.col("a").alias("code")).distinct()
-    big = F.lit(2**63 - 1)
-    label = materialize(
-        ends.join(nodes, "code").select("code", F.struct(F.coalesce("doc", big).alias("doc"), F.col("code").alias("root")).alias("low"), F.lit(True).alias("moved")),
-        "simhash-labels",
-    )
-    for _ in range(rounds):
-        seen = both.join(label.select(F.col("code").alias("b"), "low"), "b").groupBy(F.col("a").alias("code")).agg(F.min("low").alias("near"))
-        step = label.select("code", "low").join(seen, "code").select("code", F.col("low").alias("was"), F.least("low", "near").alias("low"))
-        jump = label.select(F.col("code").alias("root"), F.col("low").alias("far"))
-        step = step.withColumn("root", F.col("low.root")).join(jump, "root").select("code", F.least("low", "far").alias("low"), (F.least("low", "far") != F.col("was")).alias("moved"))
-        label = materialize(step, "simhash-labels")
-        if label.where("moved").isEmpty():
-            return label.select("code", F.when(F.col("low.doc") < big, F.col("low.doc")).alias("doc"))
-    raise RuntimeError("components did not settle")
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, words: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of `docs`: doc_id, code (signed fingerprint), component_id (smallest id reachable, itself included)."""
     ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = materialize(with_fingerprints(ids, "text", "code", words, seed).select("doc_id", "code"), "simhash-codes")
     nodes = materialize(prints.groupBy("code").agg(F.min("doc_id").alias("doc")), "simhash-nodes")
     found = components(nodes, links(nodes.select("code"), radius))
-    lowest = nodes.join(found.withColumnRenamed("doc", "low"), "code", "left").select("code", F.coalesce("low", "doc").alias("component_id"))
+    # written before the join: both of its sides are then plain shuffles, whose large partitions (one code of many copies) Spark may split
+    lowest = materialize(nodes.join(found.withColumnRenamed("doc", "low"), "code", "left").select("code", F.coalesce("low", "doc").alias("component_id")), "simhash-lowest")
     return prints.join(lowest, "code").select("doc_id", "code", "component_id")
+
+
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, least: float = 0.8, words: int = 5, radius: int = 2) -> DataFrame:
+    """One row per row of `docs`: doc_id, key (hash of the text), component_id and first_key.
+
+    Texts are linked when the Jaccard similarity of their word shingles is at least `least`. Pairs within `radius` bits of each other's fingerprints are
+    found by the covering masks and verified first; a similarity of 0.8 leaves some ten of 64 bits unlike, which no number of tables reaches at this selectivity, so
+    the links beyond the radius are found by an exact set-similarity join (jaccard.py). A component's first row has its smallest id and,
+    of that id's texts, the smallest key: (component_id, first_key). Null ids come last; a null text is the empty text.
+    """
+    from corvane.llm import jaccard
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = rows.select("key", "text")
+    heads = materialize(jaccard.heads(texts, least, words), "simhash-heads")
+    owner = materialize(heads.groupBy("code").agg(F.min("key").alias("key")), "simhash-owners")
+    close = links(owner.select("code"), radius)
+    between = close.join(owner.select(F.col("code").alias("a"), F.col("key").alias("x")), "a").join(owner.select(F.col("code").alias("b"), F.col("key").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    within = heads.select("code", F.col("key").alias("b")).join(owner.select("code", F.col("key").alias("a")), "code").where("a <> b").select("a", "b")
+    found = jaccard.connected(texts, heads, between.unionByName(within), least, words)
+    release(owner)
+    ids = materialize(rows.select("doc_id", "key"), "simhash-ids")
+    label = found.select(F.col("code").alias("key"), F.col("doc").alias("root"))
+    ids = ids.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low"))
+    first = materialize(first.select("root", F.col("low.doc_id").alias("component_id"), F.col("low.key").alias("first_key")), "simhash-first")
+    return ids.join(first, "root").select("doc_id", "key", "component_id", "first_key")

@@ -5,7 +5,7 @@ import pytest
 from awkward import prose
 
 import corpus_pipeline
-from corvane.llm import jaccard
+from corvane.llm import jaccard, simhash
 
 
 def sets(text, words=5):
@@ -58,7 +58,8 @@ def edited():
 def test_components_against_all_pairs(spark, docs, monkeypatch, sample):
     monkeypatch.setattr(jaccard, "SAMPLE", sample)
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(5000 - k, t) for k, t in enumerate(edited())]
-    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = [(r.doc_id, r.component_id) for r in got]
     key = lambda x: (x[0] or -1, x[1] or -1)
     assert sorted(map(key, got)) == sorted(map(key, zip([i for i, _ in rows], brute(rows))))
 
@@ -70,6 +71,14 @@ def test_the_pipeline_keeps_one_of_edited_copies(spark, docs):
     assert [r.doc_id for r in kept] == [1]
 
 
+def test_two_texts_of_one_id_are_two_documents(spark, docs):
+    a, b = prose(40, 1, 1), prose(40, 2, 1)
+    for rows in ([(1, a), (5, b), (5, a)], [(5, a), (5, b), (1, a)], [(5, b), (5, b), (1, a), (None, b), (None, prose(40, 3, 1))]):
+        table = spark.createDataFrame([(i, t, "en", "s0", None) for i, t in rows], docs.schema)
+        kept = corpus_pipeline.keep_one_of_each_group(spark, table, "").collect()
+        assert {(r.doc_id, r.text) for r in kept} - {(None, prose(40, 3, 1))} == {(1, a), (5, b)} and len(kept) == len({t for _, t in rows})
+
+
 def test_awkward_tables(clashing, docs, nothing):
-    assert jaccard.near_duplicates(clashing).count() == docs.count()
-    assert jaccard.near_duplicates(nothing).collect() == []
+    assert simhash.near_copies(clashing).count() == docs.count()
+    assert simhash.near_copies(nothing).collect() == []

@@ -3,8 +3,8 @@ import re
 
 import pytest
 from awkward import prose, rows
-from test_line_align import brute as lines_brute
-from test_simhash import groups, plain
+from test_jaccard import brute as components
+from test_line_align import check as check_lines
 from test_toxicity import planted
 
 import corpus_pipeline
@@ -48,27 +48,39 @@ def test_toxic_documents_go_and_clean_ones_stay(stages, spark, folder):
 
 
 def test_lines(stages):
+    """Rows are told apart by id and number of lines lost, and held against all pairs of documents."""
     before, after = stages[1].collect(), stages[2].collect()
-    want = lines_brute(before)
     assert len(before) == len(after)
+    left = collections.defaultdict(list)
     for r in after:
-        if r.doc_id is not None and r.text is not None:
-            assert r.text == want[r.doc_id]
-            if r.n_chars is not None and r.text != next(b.text for b in before if b.doc_id == r.doc_id):
-                assert r.n_chars == len(r.text)
+        left[r.doc_id].append(r)
+    paired = []
+    for r in before:
+        fits = [x for x in left[r.doc_id] if set((x.text or "").split("\n")) <= set((r.text or "").split("\n")) | {""}]
+        x = min(fits, key=lambda x: x.text != r.text)
+        left[r.doc_id].remove(x)
+        paired.append((r, x))
+    lines = lambda t: sum(bool(x.strip()) for x in (t or "").split("\n"))
+    Row = collections.namedtuple("Row", "doc_id text lines_dropped")
+    check_lines([r for r, _ in paired], [Row(x.doc_id, x.text, lines(r.text) - lines(x.text)) for r, x in paired])
+    for r, x in paired:
+        assert x.n_chars == (r.n_chars if x.text == r.text else len(x.text))
     passage = prose(60, 77, 1)
     assert sum(passage in (r.text or "") for r in after) == 1
 
 
 def test_one_of_each_group_stays(stages):
     before, after = stages[2].collect(), stages[3].collect()
-    code = {r.doc_id: plain(r.text, 5) for r in before if r.doc_id is not None}
-    find = groups(set(code.values()), 2)
-    low = {}
-    for i, c in code.items():
-        low[find(c)] = min(low.get(find(c), i), i)
-    nulls = sum(r.doc_id is None for r in before)
-    assert sorted(r.doc_id for r in after if r.doc_id is not None) == sorted(low.values()) and sum(r.doc_id is None for r in after) == nulls
+    low = components([(k, r.text) for k, r in enumerate(before)])
+    held = {}
+    for k, r in enumerate(before):
+        held.setdefault(low[k], []).append(r)
+    assert len(after) == len(held)
+    kept = collections.Counter((r.doc_id, r.text) for r in after)
+    for rows_ in held.values():
+        ids = [r.doc_id for r in rows_ if r.doc_id is not None]
+        first = [(r.doc_id, r.text) for r in rows_ if r.doc_id == (min(ids) if ids else None)]
+        assert any(kept[f] for f in first)
 
 
 def test_mix(stages):
@@ -93,3 +105,29 @@ def test_encoding_is_lossless_and_run_is_the_stages(stages, spark, folder):
     assert len(coded) == stages[4].count() and all(r.lossless and r.n_ids == len(r.ids) for r in coded)
     key = lambda r: (str(r.doc_id), str(r.source), r.ids)
     assert sorted(map(key, corpus_pipeline.run(spark, folder).collect())) == sorted(map(key, coded))
+
+
+def test_stages_on_awkward_tables(docs, clashing, nothing, spark, folder):
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, nothing, folder)
+        assert empty.collect() == [], name
+        out = stage(spark, clashing, folder)
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == clashing.columns and empty.columns == nothing.columns, name
+            assert out.where("score <> 'other' OR size <> 'other' OR spot <> 'other'").isEmpty(), name
+        assert out.count() > 0, name
+
+
+def test_repeated_rows_take_what_their_places_take(spark, docs):
+    from corvane.llm import mixing
+
+    same = ("w " * 50).strip()
+    rows = [(1, same, "en", "a", None)] * 7 + [(None, same, "en", "b", None)] * 3 + [(2, prose(400, 3, 1), "en", "c", None)]
+    table = spark.createDataFrame(rows, docs.schema)
+    want = collections.Counter()
+    for r in mixing.mix(table, seed=7).collect():
+        want[r.doc_id, r.source] += r.taken
+    got = collections.Counter()
+    for r in corpus_pipeline.mix_sources(spark, table, "").collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+    assert got == +want

@@ -81,6 +81,19 @@ def test_crowded_buckets_and_chains(spark):
         assert comp.get(c, number[c]) == min(same)
 
 
+def test_radius_one_and_zero_whatever_the_size_of_buckets(spark):
+    r = random.Random(9)
+    codes = {72, 73, 64, 9} | {1 << a for a in range(30)} | {(1 << a) | 1 for a in range(30)} | {r.getrandbits(64) for _ in range(20)}
+    signed = lambda c: c - 2**64 if c >> 63 else c
+    nodes = spark.createDataFrame([(signed(c), k) for k, c in enumerate(sorted(codes))], "code long, doc long")
+    for radius in (0, 1, 2):
+        find = groups(codes, radius)
+        for small in (2, 24):
+            comp = {x.code % 2**64: x.doc for x in simhash.components(nodes, simhash.links(nodes.select("code"), radius, small)).collect()}
+            for k, c in enumerate(sorted(codes)):
+                assert comp.get(c, k) == min(j for j, d in enumerate(sorted(codes)) if find(d) == find(c))
+
+
 def test_awkward_tables(clashing, docs, nothing):
     assert simhash.near_duplicates(clashing).count() == docs.count()
     assert simhash.near_duplicates(nothing).collect() == []
