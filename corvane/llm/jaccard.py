@@ -113,7 +113,7 @@ def connected(texts: DataFrame, heads: DataFrame, close: DataFrame, least: float
     shared = materialize(rows.join(several, "token"), "jaccard-shared")
     release(several)
     needed = shared.select("key").unionByName(tried.select(F.col("a").alias("key"))).unionByName(tried.select(F.col("b").alias("key"))).distinct()
-    held = materialize(texts.join(needed, "key", "left_semi").dropDuplicates(["key"]), "jaccard-texts")
+    held = materialize(texts.dropDuplicates(["key"]).join(needed, "key", "left_semi"), "jaccard-texts")
     keys = heads.select(F.col("key").alias("code"), F.col("key").alias("doc"))
 
     links = verified(tried, held, least, words)

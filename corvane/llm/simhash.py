@@ -147,7 +147,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     texts = rows.select("key", "text")
     heads = materialize(jaccard.heads(texts, least, words), "simhash-heads")
     owner = materialize(heads.groupBy("code").agg(F.min("key").alias("key")), "simhash-owners")
-    close = links(owner.select("code"), radius)
+    # each fingerprint is verified with the smallest one linked to it; what that leaves apart the set join finds
+    close = links(owner.select("code"), radius).groupBy("b").agg(F.min("a").alias("a"))
     between = close.join(owner.select(F.col("code").alias("a"), F.col("key").alias("x")), "a").join(owner.select(F.col("code").alias("b"), F.col("key").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     within = heads.select("code", F.col("key").alias("b")).join(owner.select("code", F.col("key").alias("a")), "code").where("a <> b").select("a", "b")
     found = jaccard.connected(texts, heads, between.unionByName(within), least, words)
