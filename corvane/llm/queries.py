@@ -130,7 +130,8 @@ _MIX_SQL = r"""WITH sz AS (SELECT doc_id, source, len(regexp_extract_all(coalesc
 ORACLE_SQL: dict[str, str] = {
     "op4_sainte_lague_mix": _MIX_SQL,
     "op2_license_join": _license_sql(),
-    "op10_onebit_neighbours": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
- d AS (SELECT q.vec_id AS query_id, r.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, r.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score FROM v q JOIN v r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id)
- SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM d QUALIFY rank <= 10""",
+    "op10_onebit_neighbours": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 100 = 0),
+ d AS (SELECT q.vec_id AS query_id, q.v AS qv, r.vec_id, sqrt(list_reduce(list_transform(list_zip(q.v, r.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) AS score FROM q JOIN v r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v))
+ SELECT query_id, row_number() OVER (PARTITION BY query_id, qv ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM d QUALIFY rank <= 10""",
 }

@@ -28,7 +28,7 @@ def rows():
 
 def test_recall_and_order(spark, rows):
     df = frame(spark, rows)
-    got = N.search(df, df.where("vec_id % 20 = 0"), 10, vector_block=150, query_block=20).orderBy("query_id", "rank").collect()
+    got = N.search(df, df.where("vec_id % 20 = 0"), 10, query_block=20, rows_a_cell=60, sample=200).orderBy("query_id", "rank").collect()
     want = brute(rows, [r for r in rows if r[0] % 20 == 0], 10)
     hit = 0
     for q, ids in want.items():
@@ -40,18 +40,37 @@ def test_recall_and_order(spark, rows):
     assert same == [300 + k for k in range(10)]  # copies: the smallest ids first, never the query itself
 
 
-def test_estimates_lie_within_bounds():
+@pytest.mark.parametrize("d", [16, 64, 100])
+def test_estimates_lie_within_bounds(d):
     r = np.random.default_rng(2)
-    x, q = r.standard_normal((4000, 64)), r.standard_normal((5, 64))
+    x, q = r.standard_normal((4000, d)), r.standard_normal((5, d))
     c = N.Codec(x.mean(axis=0))
     code, size, own = c.encode(x)
-    bits = np.unpackbits(code, axis=1).astype(float) * 2 - 1
+    assert code.dtype == np.uint64 and code.shape == (4000, -(-d // 64))
     _, unit = c.rotated(q)
     _, real = c.rotated(x)
-    about = unit @ bits.T / (8 * own)
-    slack = 3 * np.sqrt((1 - own**2) / own**2 / 63)
+    asked = N.Asked.of(c, q)
+    got = asked.products(np.arange(5), code, d)
+    low, step = asked.low[:, None], asked.step[:, None]
+    rounded = low + step * np.rint((unit - low) / step)
+    assert np.allclose(got, rounded @ np.where(real > 0, 1, -1).T / np.sqrt(d))  # the bits in common give the product itself
+    about = got / own
+    slack = 3 * np.sqrt((1 - own**2) / own**2 / (d - 1)) + 3 * asked.error[:, None] / np.sqrt(d) / own
     assert (np.abs(about - unit @ real.T) <= slack).mean() > 0.99 and abs((about - unit @ real.T).mean()) < 0.01
-    assert np.allclose(c.turn @ c.turn.T, np.eye(64)) and code.shape == (4000, 8)
+    assert np.allclose(c.turn @ c.turn.T, np.eye(d))
+
+
+def test_far_cells_are_passed_over(rows, monkeypatch):
+    x = np.array([v for _, v in rows])
+    cells, codec = N.centres(x, 6, 1), N.Codec(x.mean(axis=0))
+    limit = N.first_limits(np.array([0]), x[:1], np.arange(len(x)), x, 10)
+    s, seen = N.Searcher(codec, cells, np.array([0]), x[:1], limit, 10, 3.0), []
+    monkeypatch.setattr(N.Asked, "products", lambda self, which, codes, d: seen.append(len(codes)) or np.ones((len(which), len(codes))))
+    at = N._nearest_centre(x, cells)
+    for c in range(6):
+        s.look(c, np.arange(len(x))[at == c], x[at == c], *(y[at == c] for y in codec.encode(x)))
+    assert 0 < sum(seen) < len(x) / 2
+    assert [i for i in s.found()[1]] == [i for _, i in sorted((float(np.sqrt(((v - x[0]) ** 2).sum())), i) for i, v in enumerate(x) if i)[:10]]
 
 
 def test_rows_that_take_no_part(spark):
@@ -62,6 +81,12 @@ def test_rows_that_take_no_part(spark):
     assert got == [(0, 1, 300), (0, 2, 1), (300, 1, 0), (300, 2, 1)]
 
 
+def test_each_length_is_a_search_of_its_own(spark):
+    rows = [(k, [k, 1]) for k in range(1, 8)] + [(k, [k, 1, 0]) for k in range(100, 105)] + [(200, [3, 1])]
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in N.search(frame(spark, rows), frame(spark, rows).where("vec_id % 100 = 0"), 2).collect())
+    assert got == [(100, 1, 101), (100, 2, 102), (200, 1, 3), (200, 2, 2)]
+
+
 def test_few_or_no_rows(spark):
     df = frame(spark, [(0, [1.0, 2.0])])
     assert N.search(df, df).collect() == []
@@ -70,7 +95,20 @@ def test_few_or_no_rows(spark):
     assert [(r.vec_id, r.score) for r in N.search(same, same.where("vec_id = 0"), 3).orderBy("rank").collect()] == [(1, 0.0), (2, 0.0), (3, 0.0)]
 
 
-def test_equal_rows_count_once(spark):
-    df = frame(spark, [(0, [0.0, 1.0]), (0, [0.0, 1.0]), *[(1, [0.0, 2.0])] * 12, (1, [0.0, 5.0]), (2, [0.0, 3.0]), (3, [0.0, 4.0])])
+def test_every_row_is_a_candidate(spark):
+    df = frame(spark, [(0, [0.0, 1.0]), (0, [0.0, 1.0]), *[(1, [0.0, 2.0])] * 2, (1, [0.0, 5.0]), (2, [0.0, 3.0]), (3, [0.0, 4.0])])
     got = [(r.rank, r.vec_id, r.score) for r in N.search(df, df.where("vec_id = 0"), 4).orderBy("rank").collect()]
-    assert got == [(1, 1, 1.0), (2, 2, 2.0), (3, 3, 3.0), (4, 1, 4.0)]
+    assert got == [(1, 1, 1.0), (2, 1, 1.0), (3, 2, 2.0), (4, 3, 3.0)]
+
+
+def test_the_statement_says_the_same(spark, rows, tmp_path):
+    import duckdb
+
+    from corvane.llm import queries
+
+    frame(spark, [*rows, rows[0], rows[0], rows[37], (100, [1.0] * 32), (5000, [1.0, 2.0]), (5100, [2.0, 2.0])]).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(queries.ORACLE_SQL["op10_onebit_neighbours"]).fetchall())
+    got = sorted(tuple(r) for r in queries.op10_onebit_neighbours(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
