@@ -156,10 +156,10 @@ def encode(payload: bytes, unit: int = UNIT, rate: int = RATE) -> bytes:
     return b"".join(out)
 
 
-def timestamps(stream: Stream, rate: int = RATE) -> list[float]:
+def timestamps(stream: Stream, rate: int = RATE, unit: int = UNIT) -> list[float]:
     """End time in seconds of each data packet: given where a granule position is, counted back from the next one elsewhere.
 
-    Packets of this mapping alternate with the other stream's, so each stands two packets before the next of its stream.
+    Packets of this mapping alternate with the other stream's, so each stands two packets before the next of its stream; `unit` is the size of a packet, as the header states it.
     """
     ends: list[int] = [0] * len(stream.packets)
     known: int | None = None
@@ -168,7 +168,7 @@ def timestamps(stream: Stream, rate: int = RATE) -> list[float]:
             known = stream.granules[k]
         elif known is not None:
             # the packet after this one and the other lane's packet between them
-            known = known - len(stream.packets[k + 1]) - UNIT
+            known = known - len(stream.packets[k + 1]) - unit
         ends[k] = known if known is not None else 0
     return [e / rate for e in ends]
 
@@ -179,10 +179,12 @@ def decode(data: bytes) -> tuple[bytes, dict[str, object]]:
     parts: list[tuple[float, int, bytes]] = []
     rate = RATE
     for s in streams.values():
-        magic, _, _, kind, rate, bits, _, _, _ = PCM_HEADER.unpack(s.packets[0])
-        if magic != PCM_MAGIC or kind != PCM_U8 or bits != 8:
+        magic, _, _, kind, rate, bits, _, unit, _ = PCM_HEADER.unpack(s.packets[0])
+        if magic != PCM_MAGIC or kind != PCM_U8 or bits != 8 or not unit:
             raise ValueError("not a stream of 8-bit samples")
-        parts += [(t, s.serial, p) for t, p in zip(timestamps(s, rate)[1:], s.packets[1:])]
+        if any(len(p) != unit for p in s.packets[1:-1]) or len(s.packets[-1]) > unit and len(s.packets) > 1:
+            raise ValueError("packets are not of the size that the header states")
+        parts += [(t, s.serial, p) for t, p in zip(timestamps(s, rate, unit)[1:], s.packets[1:])]
     parts.sort(key=lambda x: x[:2])
     payload = b"".join(p for _, _, p in parts)
     return payload, {"streams": len(streams), "pages": sum(s.pages for s in streams.values()), "packets": len(parts), "seconds": parts[-1][0] if parts else 0.0}
@@ -256,7 +258,7 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def media_digest(probed: DataFrame) -> DataFrame:
-    """Digests of rows of `probe(to_media(...))`: of the payload as read back and of the stored form."""
+    """Digests of rows of `probe(to_media(...))`: of the payload as read back and of the stored form. An unreadable file gives a row without payload, its error as the feature."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -264,7 +266,9 @@ def media_digest(probed: DataFrame) -> DataFrame:
             for r in b.to_pylist():
                 p, m = r["payload"], r["media"]
                 if p is None:
-                    raise ValueError(f"unreadable media of document {r['doc_id']}: {r['error']}")
+                    stored = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+                    out.append((r["doc_id"], r["n_bytes"], None, None, None, *stored, None if r["error"] is None else f"error={r['error']}"))
+                    continue
                 shape = f"streams={r['streams']};pages={r['pages']};packets={r['packets']};seconds={r['seconds']:.4f};{features(p)}"
                 out.append((r["doc_id"], r["n_bytes"], len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(m), hashlib.sha256(m).hexdigest(), shape))
             cols = list(zip(*out)) if out else [()] * 8

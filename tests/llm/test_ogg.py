@@ -4,6 +4,7 @@ import zlib
 
 import pytest
 from awkward import rows
+from pyspark.sql import functions as F
 
 from corvane.llm import ogg as O
 
@@ -50,6 +51,13 @@ def test_payload_and_times(n):
         assert O.timestamps(s)[1:] == pytest.approx([(2 * j + k + 1) * O.UNIT / O.RATE for j in range(len(s.packets) - 1)])
 
 
+@pytest.mark.parametrize("unit", [1, 100, 300, 4000])
+def test_packets_of_another_size(unit):
+    payload = random.Random(unit).randbytes(unit * 70)
+    back, said = O.decode(O.encode(payload, unit))
+    assert back == payload and said["packets"] == 70 and said["seconds"] == pytest.approx(len(payload) / O.RATE)
+
+
 def test_damage_is_noticed():
     data = bytearray(O.encode(b"x" * O.UNIT * 9))
     for at in (0, 6, 14, 23, 40, 300, len(data) - 1):
@@ -73,4 +81,6 @@ def test_frames(spark, docs, clashing, nothing):
     bad = spark.createDataFrame([(1, bytearray(b"junk"), "e"), (2, None, "e")], "doc_id long, media binary, error string")
     out = {r.doc_id: r for r in O.probe(bad).collect()}
     assert out[1].error and out[1].payload is None and out[2].error is None
+    told = {r.doc_id: r for r in O.media_digest(O.probe(bad).withColumn("n_bytes", F.lit(4).cast("long"))).collect()}
+    assert told[1].payload_sha256 is None and told[1].media_bytes == 4 and told[1].feature.startswith("error=") and told[2].media_bytes is None and told[2].feature is None
     assert O.media_digest(O.probe(O.to_media(nothing))).collect() == []
