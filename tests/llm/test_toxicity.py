@@ -1,3 +1,5 @@
+import collections
+import math
 import random
 import re
 
@@ -31,6 +33,52 @@ def test_held_out_accuracy(spark):
     assert len(wrong) <= len(got) * 0.03 and all(0 <= r.score <= 1 for r in got)
 
 
+def plain_fit(rows, keys, z=3.5, z_pairs=5.0):
+    """Words and pairs of the model in plain Python: rows (doc_id, text, toxic), keys id -> keyed hash."""
+    def level(n, e, z):
+        room = max(0.75, z * math.sqrt(e + 0.25))
+        return e if abs(n - e) <= room else n - math.copysign(room, n - e)
+
+    def evidence(n, e, z):
+        one, none = ((level(x, y, z) + 0.5) / (y + 0.5) for x, y in zip(n, e))
+        return math.log(one) - math.log(none)
+
+    texts = {}
+    for i, t, y in sorted(rows, key=lambda r: (keys[r[0]], r[0])):
+        texts.setdefault(t, (keys[i], y))
+    words, pairs = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(lambda: [0, 0])
+    for t, (k, y) in texts.items():
+        if k % 4:
+            w = re.findall(X.WORD, t.lower())
+            for x in set(w):
+                words[x][1 - y] += 1
+            for x in set(zip(w, w[1:])):
+                pairs[x][1 - y] += 1
+    t1, t0 = (sum(n[c] for n in words.values()) for c in (0, 1))
+    l1 = {w: evidence(n, (sum(n) * t1 / (t1 + t0), sum(n) * t0 / (t1 + t0)), z) for w, n in words.items()}
+    l2 = {}
+    for (h, w), n in pairs.items():  # all pairs, the rare ones too
+        ratio = math.exp(l1[w]) * t1 / t0
+        e = sum(n) * ratio / (1 + ratio)
+        l2[h, w] = evidence(n, (e, sum(n) - e), z_pairs)
+    return {w: x for w, x in l1.items() if x}, {p: x for p, x in l2.items() if x}
+
+
+def test_as_a_plain_version_says(spark):
+    r, rows = random.Random(3), []
+    for i, t, y in planted(500, 2):  # a pair that is toxic although its words are not
+        w = t.split(" ")
+        at = r.randrange(len(w))
+        w[at:at] = (["you", "lot"] if y else r.choice([["you", "all"], ["a", "lot"]])) * (i % 3 > 0)
+        rows.append((i, " ".join(w), y))
+    rows += [(900 + k, rows[k][1], rows[k][2]) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = X.fit(df)
+    words, pairs = plain_fit(rows, {x.doc_id: x.k for x in df.select("doc_id", F.xxhash64(F.lit(11), "doc_id").alias("k")).collect()})
+    assert model.words.keys() == words.keys() >= set(BAD) and model.pairs.keys() == pairs.keys() >= {("you", "lot")}
+    assert all(abs(model.words[w] - x) < 1e-9 for w, x in words.items()) and all(abs(model.pairs[p] - x) < 1e-9 for p, x in pairs.items())
+
+
 def test_copies_and_bursts_count_once(spark):
     rows = planted(200) + [(1000 + k, "harmless sentence that is copied a lot " + "copied " * 200, 1) for k in range(100)]
     model = X.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
