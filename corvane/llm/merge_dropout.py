@@ -7,7 +7,7 @@ text and number of the candidate within the word, so every candidate of every oc
 always alike.
 
 How a word is cut depends on its letters and the answers its candidates get, so a worker computes each (word, answers) once and keeps it: first the cut without a skip,
-which most occurrences get, then those with skips. What is kept is bounded and changes no result.
+which most occurrences get, then those with skips. What is kept is bounded (`_KEEP`) and changes no result.
 
 Decoding joins the pieces' bytes, turns marks into spaces and drops the first: the exact text. A literal mark in a text is spelt in byte pieces, so it stays itself.
 
@@ -19,9 +19,12 @@ yield equal rows; an empty table an empty one; columns named as an output are re
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
-from corvane.llm.common import bounded_batches, plus
+from corvane.llm.common import BATCH_ROWS, bounded_batches, plus
 
 MARK = "▁"
 #: Runs of spaces with the word after them; line breaks and other white space stand alone or within words, they never merge with letters in this vocabulary.
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-#: Cuts in one generation of those a worker keeps for all tasks of equal parameters; there are two generations.
-_KEEP = 400_000
-_KEPT: dict[tuple, list] = {}
+#: Words, and cuts with skips, that a worker keeps for all tasks of equal parameters; with more than these it begins anew.
+_KEEP = 600_000
+_KEPT: dict[tuple, Kept] = {}
 #: Words up to this length are merged many at a time.
 _SHORT = 32
 _NEVER = np.int32(2**31 - 1)
@@ -45,6 +48,31 @@ _ASKED = 24
 _GOLDEN, _MIX, _MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
+class Kept:
+    """What a worker remembers: words by number, their cuts without a skip, and cuts by word and answers."""
+
+    def __init__(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.cuts: list[bytes] = []
+        self.asked = np.zeros(1024, np.int64)  # candidates asked where none is skipped
+        self.told: dict[int, bytes] = {}  # by number and as many answers as most cuts ask; empty where the cut asks more
+        self.longer: dict[int, bytes] = {}  # by number and all answers
+
+    def new(self) -> list[str]:
+        """Words with a number and no cut yet, in the order of their numbers."""
+        return list(islice(reversed(self.number), len(self.number) - len(self.cuts)))[::-1]
+
+    def add(self, cuts: list[tuple[bytes, int]]) -> None:
+        at, end = len(self.cuts), len(self.cuts) + len(cuts)
+        if end > len(self.asked):
+            self.asked = np.concatenate([self.asked, np.zeros(end, np.int64)])
+        self.asked[at:end] = [n for _, n in cuts]
+        self.cuts += [c for c, _ in cuts]
+
+    def full(self) -> bool:
+        return len(self.cuts) > _KEEP or len(self.told) + len(self.longer) > 2 * _KEEP
+
+
 class Merger:
     """Encoder and decoder over one vocabulary file."""
 
@@ -71,8 +99,6 @@ class Merger:
                 self._piece[p], self._rank[p] = i, -m.get_score(i)
                 self._bytes[i] = p.replace(MARK, " ").encode("utf-8")
         self._table = pa.array(self._bytes, pa.binary())
-        # word -> (cut without a skip, candidates it asks); (word, answers) -> cut
-        self._kept = _KEPT.setdefault((self.model_file, self.dropout), [{}, {}, {}, {}, 0])
         # characters and pairs as numbers, for merging many words at a time
         self._char = np.full(0x110000, -1, np.int32)
         pairs = []
@@ -111,16 +137,32 @@ class Merger:
         """The ids of each text, as bytes of int32. Cuts not met lately are computed together."""
         if self._piece is None:
             self._load()
+        on = gc.isenabled()
+        gc.disable()  # millions of small objects, none of them in a cycle
+        try:
+            return self._encode_all(texts, doc_ids)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode_all(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
+        name = (self.model_file, self.dropout)
+        kept = _KEPT.get(name)
+        if kept is None or kept.full():
+            kept = _KEPT[name] = Kept()
         split = [_WORDS.findall(" " + t) if t else [] for t in texts]
         ends = np.cumsum([0, *map(len, split)])
-        flat = [w for words in split for w in words]
-        plain = self._plain(flat)
-        cuts = [c for c, _ in plain]
+        flat = list(chain.from_iterable(split))
+        numbers = list(map(kept.number.__getitem__, flat))
+        kept.add(self._cut(kept.new(), None))
+        cuts = list(map(kept.cuts.__getitem__, numbers))
         if self.dropout and flat:
-            asked = np.fromiter((n for _, n in plain), np.int64, len(plain))
+            number = np.array(numbers, np.int64)
+            asked = kept.asked[number]
             keys = np.concatenate([self._places(i, len(words)) for i, words in zip(doc_ids, split)])
             changed = np.nonzero(self._any_skip(keys, asked))[0]
-            for k, cut in zip(changed.tolist(), self._varied([flat[k] for k in changed.tolist()], keys[changed])):
+            some = changed.tolist()
+            for k, cut in zip(some, [] if not some else self._varied(kept, [flat[k] for k in some], number[changed], asked[changed], keys[changed])):
                 cuts[k] = cut
         return [b"".join(cuts[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
@@ -146,73 +188,45 @@ class Merger:
         back[order] = out
         return back
 
-    def _plain(self, words: list[str]) -> list[tuple[bytes, int]]:
-        """The cut of each word without a skip, and how many candidates it asks."""
-        young, old = self._kept[0], self._kept[1]
-        got = list(map(young.get, words))
-        if None in got:
-            want = list(dict.fromkeys([w for w, g in zip(words, got) if g is None]))
-            have = {w: c for w in want if (c := old.get(w)) is not None}
-            new = [w for w in want if w not in have]
-            have.update(zip(new, self._cut(new, None)))
-            got = [have[w] if g is None else g for w, g in zip(words, got)]
-            self._remember(0, have)
-        return got
-
-    def _varied(self, words: list[str], keys: np.ndarray) -> list[bytes]:
+    def _varied(self, kept: Kept, words: list[str], number: np.ndarray, asked: np.ndarray, keys: np.ndarray) -> list[bytes]:
         """The cut of each word under the answers of its occurrence."""
         answers = np.zeros(len(keys), np.int64)
-        for t in range(_ASKED):
+        for t in range(min(_ASKED, int(asked.max()) + 6)):
             answers |= self._skip(keys, t).astype(np.int64) << t
-        young, old = self._kept[2], self._kept[3]
-        out: list[bytes | None] = []
-        missing: dict[tuple[str, int], list[int]] = {}
-        for k, (w, a) in enumerate(zip(words, answers.tolist())):
-            # the cuts of a word by its first answers: a number of answers that settles the cut, and the answers themselves
-            tree = young.get(w) or old.get(w)
-            cut = None
-            if tree is not None:
-                for n, known in tree.items():
-                    cut = known.get(a & ((1 << n) - 1))
-                    if cut is not None:
-                        break
-            out.append(cut)
-            if cut is None:
-                missing.setdefault((w, a), []).append(k)
-        if missing:
-            spots = [p for p in missing.values()]
-            made = self._cut([w for w, _ in missing], keys[[p[0] for p in spots]])
-            fresh: dict[str, dict[int, dict[int, bytes]]] = {}
-            for (w, a), places, (cut, n) in zip(missing, spots, made):
-                if n <= _ASKED:
-                    tree = fresh.get(w)
-                    if tree is None:
-                        tree = fresh[w] = young.get(w) or old.get(w) or {}
-                    tree.setdefault(n, {})[a & ((1 << n) - 1)] = cut
-                    for k in places:
-                        out[k] = cut
-                else:  # further answers differ by occurrence
-                    for k, (own, _) in zip(places, [(cut, n), *self._cut([w] * (len(places) - 1), keys[places[1:]])]):
-                        out[k] = own
-            self._remember(2, fresh)
+        # a cut with skips seldom asks more than one candidate beyond those of the cut without
+        most = np.minimum(asked + 1, _ASKED)
+        code = (number << _ASKED) | (answers & ((1 << most) - 1))
+        out: list[bytes | None] = list(map(kept.told.get, code.tolist()))
+        open_ = np.array([k for k, c in enumerate(out) if c is None], np.int64)
+        if len(open_):
+            new, first, which = np.unique(code[open_], return_index=True, return_inverse=True)
+            at = open_[first]
+            made = self._cut([words[k] for k in at.tolist()], keys[at])
+            fits = [cut if n <= m else b"" for (cut, n), m in zip(made, most[at].tolist())]
+            kept.told.update(zip(new.tolist(), fits))
+            for k, w in zip(open_.tolist(), which.tolist()):
+                out[k] = fits[w]
+        if b"" in out:
+            most = np.minimum(asked + 6, _ASKED)
+            code = (number << _ASKED) | (answers & ((1 << most) - 1))
+            rest = [k for k, c in enumerate(out) if not c]
+            found = list(map(kept.longer.get, code[rest].tolist()))
+            rest_at = [k for k, c in zip(rest, found) if c is None]
+            for k, c in zip(rest, found):
+                out[k] = c
+            for k, (cut, n) in zip(rest_at, self._cut([words[k] for k in rest_at], keys[rest_at])):
+                out[k] = cut
+                if n <= most[k]:
+                    kept.longer[int(code[k])] = cut
         return out
 
-    def _remember(self, kind: int, fresh: dict) -> None:
-        """Keep these cuts; a full generation takes the place of the one before it."""
-        kept = self._kept
-        size = len(kept[0]) if kind == 0 else kept[4]
-        if size + len(fresh) > _KEEP:
-            kept[kind], kept[kind + 1] = {}, kept[kind]
-            kept[4] = kept[4] if kind == 0 else 0
-        if kind:  # at most: a word met again counts its cuts again
-            kept[4] += sum(sum(map(len, t.values())) if w not in kept[2] else 1 for w, t in fresh.items())
-        kept[kind].update((w, c) for w, c in fresh.items() if len(w) <= 64)
-
     def _cut(self, words: list[str], keys: np.ndarray | None) -> list[tuple[bytes, int]]:
         """The ids of each word at the occurrence of its key (None: without skips), and how many candidates were asked."""
         cuts: list[tuple[bytes, int] | None] = [None] * len(words)
-        short = [k for k, w in enumerate(words) if 1 < len(w) <= _SHORT and MARK not in w]
-        short.sort(key=lambda k: len(words[k]))  # words of like length make narrow tables
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(size, kind="stable")  # words of like length make narrow tables
+        marked = {k for k, w in enumerate(words) if MARK in w}
+        short = [k for k in order[(size[order] > 1) & (size[order] <= _SHORT)].tolist() if k not in marked]
         for at in range(0, len(short), 4096):
             part = short[at : at + 4096]
             for k, cut in zip(part, self._together([words[k] for k in part], None if keys is None else keys[part])):
@@ -273,8 +287,10 @@ class Merger:
             alive[r, right] = False
             after[r, k] = beyond
             before[r, beyond] = k
-            rank[r, k], made[r, k] = self._ranks(piece[r, k], piece[r, beyond])
-            rank[r, left], made[r, left] = self._ranks(piece[r, left], piece[r, k])
+            here = piece[r, k]
+            ranks, pieces = self._ranks(np.concatenate([here, piece[r, left]]), np.concatenate([piece[r, beyond], here]))
+            rank[r, k], made[r, k] = ranks[: len(r)], pieces[: len(r)]
+            rank[r, left], made[r, left] = ranks[len(r) :], pieces[len(r) :]
         ids = piece[:, :width][alive]
         ends = np.cumsum(alive.sum(axis=1)).tolist()
         data, spelt = ids.tobytes(), np.zeros(m, bool)
@@ -362,8 +378,8 @@ def encode(docs: DataFrame, merger: Merger, out: str = "ids", doc_id: str = "doc
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for k in range(0, b.num_rows, BATCH_ROWS):
+                part = b.slice(k, BATCH_ROWS)
                 texts = part.column(text).to_pylist()
                 ids = merger.encode_all(texts, part.column(doc_id).to_pylist())
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
