@@ -38,7 +38,7 @@ MARK = "▁"
 #: Runs of spaces with the word after them; line breaks and other white space stand alone or within words, they never merge with letters in this vocabulary.
 _WORDS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 #: Words, and cuts with skips, that a worker keeps for all tasks of equal parameters; with more than these it begins anew.
-_KEEP = 600_000
+_KEEP = 200_000
 _KEPT: dict[tuple, Kept] = {}
 #: Words up to this length are merged many at a time.
 _SHORT = 32
