@@ -6,7 +6,7 @@ for terms of no query are dropped before the shuffle by a semi-join that broadca
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,11 +43,28 @@ def bm25(docs: DataFrame, queries: DataFrame, *, key: str = "doc_id", text: str
     post = each.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"), *([F.first(F.size(F.filter("_h", lambda h: h == F.col("term")))).alias("tf_title")] if title else []))
     if title:
         post = post.withColumn("tf", F.col("tf") + 1.5 * F.col("tf_title")).drop("tf_title")
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = post.join(df, "term").join(F.broadcast(corpus))  # one row
+    # one row a term with its frequency and the questions that ask it: postings, of which a common word has very many, meet it once
+    asked = terms.groupBy("term").agg(F.collect_list("query_id").alias("asked"))
+    weights = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(asked, "term").join(F.broadcast(corpus))  # one row
+    return post.join(weights, "term").select(key, F.explode("asked").alias("query_id"), _part(k1, b).alias("part")).groupBy("query_id", key).agg(F.sum("part").alias("raw"))
+
+
+def _part(k1: float, b: float) -> Column:
+    """What a term of frequency tf in a text of len words adds; df of n texts hold it."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avgdl", F.lit(1.0))))
-    return weighed.select(key, "term", part.alias("part")).join(terms, "term").groupBy("query_id", key).agg(F.sum("part").alias("raw"))
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.greatest("avgdl", F.lit(1.0))))
+
+
+def bm25_of_pools(pools: DataFrame, docs: DataFrame, queries: DataFrame, *, key: str = "doc_id", text: str = "content", k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, key, raw: each question's pool (query_id, key) scored by statistics of that pool alone; rows of a pool without a term of the question score 0."""
+    words = docs.join(pools.select(key).distinct(), key, "left_semi").select(key, T.retrieval_tokens(F.col(text)).alias("_w")).withColumn("len", F.size("_w"))
+    sizes = pools.join(words.select(key, "len"), key)
+    facts = sizes.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    post = words.select(key, "len", F.explode("_w").alias("term")).join(query_terms(queries).select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    met = pools.join(query_terms(queries), "query_id").join(post, [key, "term"])
+    df = met.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    raw = met.join(df, ["query_id", "term"]).join(facts, "query_id").select("query_id", key, _part(k1, b).alias("part")).groupBy("query_id", key).agg(F.sum("part").alias("raw"))
+    return pools.select("query_id", key).join(raw, ["query_id", key], "left").fillna(0.0, ["raw"])
 
 
 def containing(docs: DataFrame, queries: DataFrame, *, key: str = "doc_id", text: str = "text", query: str = "query") -> DataFrame:
