@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import chunking, knowledge
+from corvane.operators import answering, chunking, knowledge
 from corvane.plans.registry import DOCS, TOKEN, query, statement
 from corvane.sources import model, parsing
 
@@ -196,16 +196,15 @@ def replay_cache(spark, sf_dir):
 
 # -- answering
 
-@query(r"""WITH u AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')), '. ')) AS s FROM documents WHERE doc_id < 300)
- SELECT doc_id, count(DISTINCT lower(trim(s, '. '))) AS units FROM u WHERE trim(s, '. ') <> '' GROUP BY doc_id""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c]')) AS line FROM documents), c AS (SELECT doc_id, trim(regexp_replace(line, '\s+', ' ', 'g')) AS line FROM l),
+  u AS (SELECT doc_id, unnest(string_split(regexp_replace(line, '([.!?;。！？；])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM c) SELECT doc_id, count(DISTINCT lower(s)) AS units, sum(length(s))::BIGINT AS characters FROM u WHERE s <> '' GROUP BY doc_id""")
 def evidence_sentences(spark, sf_dir):
-    """Distinct sentences of the first line."""
-    first = T.collapse(F.element_at(F.split("text", "\n"), 1))
-    u = model.table(spark, sf_dir, "documents").where("doc_id < 300").select("doc_id", F.explode(F.split(first, r"\. ")).alias("s")).select("doc_id", F.lower(F.regexp_replace("s", r"^[. ]+|[. ]+$", "")).alias("s")).where("s <> ''")
-    return u.groupBy("doc_id").agg(F.countDistinct("s").alias("units"))
+    """Distinct sentences of whole documents, whatever their case."""
+    u = model.table(spark, sf_dir, "documents").select("doc_id", F.explode(answering.sentence_units(F.col("text"))).alias("s"))
+    return u.groupBy("doc_id").agg(F.countDistinct(F.lower("s")).alias("units"), F.sum(F.length("s")).cast("long").alias("characters"))
 
 
-STEMS = ["ations", "ation", "ments", "ment", "ingly", "ing", "edly", "ed", "es", "s"]
+STEMS = T.STEM_SUFFIXES
 _STEM = "CASE " + " ".join(f"WHEN suffix(term, '{s}') AND length(term) - {len(s)} >= 5 THEN substr(term, 1, length(term) - {len(s)})" for s in STEMS) + " ELSE term END"
 
 
