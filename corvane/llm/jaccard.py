@@ -7,8 +7,8 @@ order puts shingles held by many last, by counts from a sample of the texts: the
 Links are wanted only as far as they connect, so not every pair of a large group is needed:
     given   pairs found otherwise (by fingerprints) are verified first;
     twice   each text meets one holder of another component: the first holder of a shingle that it shares most shingles with;
-    then    all holders of a shingle that are not yet in one component meet.
-Each such pair is verified by its whole sets, read from the texts. A group of near copies costs a few pairs a text; no pair is capped or left out.
+    then    all holders of a shingle that are not yet in one component meet: as pairs where they are few, else in blocks of bounded size, of which only links leave a task.
+Each pair is verified by its whole sets, read from the texts. A group of near copies costs a few rows a text; no pair is capped or left out.
 
 Equal texts are one text (by a 64-bit hash). A text without words is equal to others without words and to no other.
 """
@@ -16,9 +16,10 @@ Equal texts are one text (by a 64-bit hash). A text without words is equal to ot
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,10 @@ from corvane.llm.simhash import majority, shingle_hashes
 SAMPLE, ORDERED = 20_000, 2**17
 #: Rounds in which each text meets one holder only.
 ROUNDS = 2
+#: Holders of a shingle up to which they meet as pairs, at most sixteen a holder.
+FEW = 32
+#: Holders of any other shingle in a block; two blocks are in a task's memory at once.
+BLOCK = 512
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -136,14 +141,68 @@ def connected(texts: DataFrame, heads: DataFrame, close: DataFrame, least: float
             links = links.unionByName(more)
             label = components(keys, links)
 
-    # what is left apart; a component's own members need not meet again
+    # what is left apart: the holders of a shingle that few hold meet as pairs, those of other shingles block by block, and only links leave a task
     now = materialize(told(), "jaccard-told")
-    mixed = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    mixed = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("token", "n")
     mixed = materialize(now.join(mixed, "token"), "jaccard-mixed")
-    left, right = (mixed.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "label")]) for side in "xy")
+    few, many = mixed.where(F.col("n") <= FEW), mixed.where(F.col("n") > FEW)
+    left, right = (few.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "label")]) for side in "xy")
     rest = left.join(right, "token").where((F.col("label_x") < F.col("label_y")) & near(F.col("size_x"), F.col("size_y")))
     rest = materialize(rest.select(*ordered("key_x", "key_y")).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
-    release(now, mixed, shared)
+    release(now, shared)
     more = verified(rest, held, least, words)
-    release(held)
+    release(rest)
+    if not many.isEmpty():
+        tokens = many.groupBy("key").agg(F.sort_array(F.collect_set("token")).alias("tokens"))  # at most a text's first shingles
+        sets = materialize(held.join(tokens, "key").mapInArrow(_sets(words), "key long, tokens array<long>, shingles array<long>"), "jaccard-sets")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        dealt = many.select("token", "key", "label", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        dealt = dealt.select("token", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "key", "label", "own").join(sets, "key")
+        found = dealt.groupBy("token", "low", "high").applyInPandas(lambda key, rows: _block_links(key, rows, least), "a long, b long")
+        found = materialize(found.distinct(), "jaccard-links")
+        release(sets)
+        more = more.unionByName(found)
+    release(mixed, held)
     return label if more.isEmpty() else components(keys, links.unionByName(more))
+
+
+def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, words) for t in b.column("text").to_pylist()]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("tokens"), lists], ["key", "tokens", "shingles"])
+
+    return work
+
+
+def _block_links(group: tuple, rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Links that connect what is alike in a block, or between two blocks, of a shingle's holders; those already connected are passed over.
+
+    A pair that shares several of the shingles is compared for the smallest alone."""
+    token, low, high = group
+    rows = rows.sort_values(["own", "key"], ignore_index=True)
+    keys, labels, own = rows["key"].tolist(), rows["label"].tolist(), rows["own"].tolist()
+    sets, tokens = [np.asarray(x) for x in rows["shingles"]], [np.asarray(x) for x in rows["tokens"]]
+    sizes = np.array([len(x) for x in sets])
+    at: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while at.setdefault(x, x) != x:
+            at[x] = at[at[x]]
+            x = at[x]
+        return x
+
+    out = []
+    for i in range(len(keys)):
+        if low != high and own[i] == high:
+            break
+        later = np.arange(i + 1, len(keys))
+        for j in later[np.minimum(sizes[later], sizes[i]) >= np.maximum(sizes[later], sizes[i]) * (least - 1e-12)].tolist():
+            if (low != high and own[j] == low) or root(labels[i]) == root(labels[j]):
+                continue
+            common = np.intersect1d(tokens[i], tokens[j], assume_unique=True)
+            if common[0] == token and similarity(sets[i], sets[j]) >= least - 1e-12:
+                out.append((min(keys[i], keys[j]), max(keys[i], keys[j])))
+                at[root(labels[i])] = root(labels[j])
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")

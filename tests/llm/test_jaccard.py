@@ -54,9 +54,12 @@ def edited():
     return out
 
 
-@pytest.mark.parametrize("sample", [jaccard.SAMPLE, 20])
-def test_components_against_all_pairs(spark, docs, monkeypatch, sample):
+@pytest.mark.parametrize("sample, block, rounds", [(jaccard.SAMPLE, jaccard.BLOCK, 2), (20, 7, 0)])
+def test_components_against_all_pairs(spark, docs, monkeypatch, sample, block, rounds):
     monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FEW", block - 2 if rounds == 0 else jaccard.FEW)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     rows = [(r.doc_id, r.text) for r in docs.collect()] + [(5000 - k, t) for k, t in enumerate(edited())]
     got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     got = [(r.doc_id, r.component_id) for r in got]
