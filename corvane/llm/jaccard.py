@@ -109,7 +109,7 @@ def verified(pairs: DataFrame, held: DataFrame, least: float, words: int) -> Dat
 
 
 def connected(texts: DataFrame, heads: DataFrame, close: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
-    """(code, doc): each key that has a link, and the smallest key of its component. `close` (a, b) are pairs of keys likely to be alike."""
+    """(code, doc): each key that has a link, and the smallest key of its component. `close` (a, b) are pairs of keys likely to be alike. The table `heads` is deleted once read."""
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-12)
     tried = materialize(close.select(*ordered("a", "b")).distinct(), "jaccard-close")
@@ -119,7 +119,8 @@ def connected(texts: DataFrame, heads: DataFrame, close: DataFrame, least: float
     release(several)
     needed = shared.select("key").unionByName(tried.select(F.col("a").alias("key"))).unionByName(tried.select(F.col("b").alias("key"))).distinct()
     held = materialize(texts.dropDuplicates(["key"]).join(needed, "key", "left_semi"), "jaccard-texts")
-    keys = heads.select(F.col("key").alias("code"), F.col("key").alias("doc"))
+    keys = materialize(heads.select(F.col("key").alias("code"), F.col("key").alias("doc")), "jaccard-keys")
+    release(heads)
 
     links = verified(tried, held, least, words)
     label = components(keys, links)
