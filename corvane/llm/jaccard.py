@@ -2,7 +2,8 @@
 
 A text's set holds the XXH64 values of its shingles. Under any total order of the shingles two sets of that similarity share one of each one's
 first size - ceil(least * size) + 1, so only those are dealt out and met by equal shingle; sizes that can't reach the similarity are passed over. The
-order puts shingles held by many last, by counts from a sample of the texts: the sample shortens the search and can't change the result.
+order is by the number of texts that hold a shingle, counted over all of them, so a text is met by its rarest ones; those it holds alone, met by no
+other, come first and leave most texts without any. For the counts the shingles are dealt out by hash, packed in six bytes, and only shared ones return.
 
 Links are wanted only as far as they connect, so not every pair of a large group is needed:
     given   pairs found otherwise (by fingerprints) are verified first;
@@ -28,8 +29,10 @@ from corvane.llm.common import bounded_batches, materialize, release
 from corvane.llm.components import components
 from corvane.llm.simhash import majority, shingle_hashes
 
-#: Texts of the sample, and shingles ordered by their count there.
-SAMPLE, ORDERED = 20_000, 2**17
+#: Texts whose shingles travel together, 256 at most: one byte tells which of them holds a shingle.
+SAMPLE = 256
+#: Characters of text to a part of the shingles, which a task holds whole.
+PART = 2**24
 #: Rounds in which each text meets one holder only.
 ROUNDS = 2
 #: Holders of a shingle up to which they meet as pairs, at most sixteen a holder.
@@ -48,47 +51,94 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common) if len(a) or len(b) else 1.0
 
 
-def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The set's first size - ceil(least * size) + 1 shingles, those of `common` (sorted) last, by their counts."""
-    n = len(own)
-    if not n:
-        return np.zeros(1, np.int64)
-    weight = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
-        weight = np.where(common[at] == own, counts[at], 0)
-    return own[np.argsort(weight, kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]]
-
+def dealt(texts: DataFrame, words: int, parts: int) -> DataFrame:
+    """(part, unit, at, tokens, keys, sizes, codes): the shingles of up to `SAMPLE` texts (a unit, named by its first key) that fall in a part.
 
-def often_held(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles held by three texts of the sample or more, sorted, and their counts."""
-    every = max(1, -(-texts.count() // SAMPLE))
+    A token is a hash's lower 40 bits; `at` has a byte for each: which text of the unit holds it. One row of a unit has its texts' keys, sizes and fingerprints."""
+    spark = texts.sparkSession
+    bounded_batches(spark)
+    unit = min(SAMPLE, 256)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for t in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, words))], ["token"])
-
-    some = texts.where(F.pmod("key", F.lit(every)) == 0).dropDuplicates(["key"]).select("text").mapInArrow(work, "token long")
-    found = some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(ORDERED).toPandas().sort_values("token")
-    return found["token"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+            for start in range(0, b.num_rows, unit):
+                some = b.slice(start, unit)
+                keys = some.column(0).to_numpy(zero_copy_only=False)
+                hashes = [shingle_hashes(t, words) for t in some.column(1).to_pylist()]
+                codes = np.array([majority(h) for h in hashes], np.uint64)
+                sets = [np.unique(h) for h in hashes]
+                sizes = np.array([len(x) for x in sets], np.int32)
+                every = np.concatenate(sets)
+                part = ((every >> np.uint64(40)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                here, first = np.unique(part[order], return_index=True)
+                if not len(here):
+                    here, first = np.zeros(1, np.int32), np.zeros(1, np.int64)
+                ends = np.append(first, len(every)).astype(np.int32)
+                tokens = every[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                at = np.repeat(np.arange(len(sets), dtype=np.uint8), sizes)[order].tobytes()
+                home = int(keys[0]) % len(here)
+                once = [pa.array([x.tobytes() if k == home else None for k in range(len(here))], pa.binary()) for x in (keys, sizes, codes)]
+                yield pa.RecordBatch.from_arrays([pa.array(here), pa.array(np.full(len(here), keys[0])), _binary(at, ends), _binary(tokens, ends * 5), *once], ["part", "unit", "at", "tokens", "keys", "sizes", "codes"])
+
+    return texts.select("key", "text").mapInArrow(work, "part int, unit long, at binary, tokens binary, keys binary, sizes binary, codes binary")
+
+
+def _binary(data: bytes, ends: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), kind)
+
+
+def _held_by_several(rows: pa.Table) -> pa.Table:
+    """Of a part's shingles those that several texts hold, as 64-bit tokens with their number of holders (65535 stands for more)."""
+    part = rows.column("part")[0].as_py()
+    at = _joined(rows.column("at"), "u1")
+    wide = np.zeros((len(at), 8), np.uint8)
+    wide[:, :5] = _joined(rows.column("tokens"), "u1").reshape(-1, 5)
+    tokens = wide.view("<i8").ravel()
+    order = np.argsort(tokens)
+    new = np.flatnonzero(np.diff(tokens[order], prepend=-1))
+    counts = np.empty(len(at), np.uint16)
+    n = np.diff(new, append=len(at))
+    counts[order] = np.repeat(np.minimum(n, 65535).astype(np.uint16), n)
+    some = counts > 1
+    row = np.repeat(np.arange(rows.num_rows), [len(x) if x else 0 for x in rows.column("at").to_pylist()])
+    ends = np.append(0, np.cumsum(np.bincount(row[some], minlength=rows.num_rows)))
+    out = pa.table({
+        "unit": rows.column("unit"), "at": _binary(at[some].tobytes(), ends), "tokens": _binary((tokens[some] | part << 40).tobytes(), ends * 8), "counts": _binary(counts[some].tobytes(), ends * 2),
+        **{c: rows.column(c) for c in ("keys", "sizes", "codes")},
+    })
+    return out.filter(pa.array((np.diff(ends) > 0) | (rows.column("keys").is_valid().to_numpy())))
+
+
+def prefix(size: int, shared: np.ndarray, least: float) -> np.ndarray:
+    """Of a set's first size - ceil(least * size) + 1 shingles those in `shared`, which are in order and stand behind the others."""
+    if not size:
+        return np.zeros(1, np.int64)
+    return shared[: max(0, len(shared) - math.ceil(least * size - 1e-9) + 1)]
 
 
 def heads(texts: DataFrame, least: float, words: int) -> DataFrame:
-    """(key, size, code, firsts) of each distinct text: the size of its set, its fingerprint, and the shingles it is met by."""
-    bounded_batches(texts.sparkSession)
-    common, counts = often_held(texts, words)
+    """(key, size, code, firsts) of each of the distinct texts (key, text): the size of its set, its fingerprint, and the shingles it is met by."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes = [shingle_hashes(t, words) for t in b.column(1).to_pylist()]
-            codes = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            sets = [np.unique(h.view(np.int64)) for h in hashes]
-            firsts = [prefix(s, common, counts, least) for s in sets]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, firsts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(codes), lists], ["key", "size", "code", "firsts"])
+    def firsts(rows: pa.Table) -> pa.Table:
+        keys, sizes, codes = (_joined(rows.column(c), kind) for c, kind in (("keys", "i8"), ("sizes", "i4"), ("codes", "i8")))
+        at, tokens, counts = (_joined(rows.column(c), kind) for c, kind in (("at", "u1"), ("tokens", "i8"), ("counts", "u2")))
+        order = np.lexsort((tokens, counts, at))
+        ends = np.searchsorted(at[order], np.arange(len(keys) + 1))
+        tokens = tokens[order]
+        own = [prefix(n, tokens[a:b], least) for n, a, b in zip(sizes.tolist(), ends[:-1].tolist(), ends[1:].tolist())]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]), pa.int32()), pa.array(np.concatenate(own)))
+        return pa.table({"key": keys, "size": sizes, "code": codes, "firsts": lists})
 
-    return texts.mapInArrow(work, "key long, size int, code long, firsts array<long>").dropDuplicates(["key"])
+    held = "unit long, at binary, tokens binary, counts binary, keys binary, sizes binary, codes binary"
+    several = dealt(texts, words, parts).groupBy("part").applyInArrow(_held_by_several, held)
+    return several.groupBy("unit").applyInArrow(firsts, "key long, size int, code long, firsts array<long>")
 
 
 def verified(pairs: DataFrame, held: DataFrame, least: float, words: int) -> DataFrame:
@@ -109,7 +159,7 @@ def verified(pairs: DataFrame, held: DataFrame, least: float, words: int) -> Dat
 
 
 def connected(texts: DataFrame, heads: DataFrame, close: DataFrame, least: float = 0.8, words: int = 5) -> DataFrame:
-    """(code, doc): each key that has a link, and the smallest key of its component. `close` (a, b) are pairs of keys likely to be alike. The table `heads` is deleted once read."""
+    """(code, doc): each key that has a link, and the smallest key of its component. `close` (a, b) are pairs of keys likely to be alike. The tables `texts` and `heads` are deleted once read."""
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     near = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-12)
     tried = materialize(close.select(*ordered("a", "b")).distinct(), "jaccard-close")
@@ -118,9 +168,9 @@ def connected(texts: DataFrame, heads: DataFrame, close: DataFrame, least: float
     shared = materialize(rows.join(several, "token"), "jaccard-shared")
     release(several)
     needed = shared.select("key").unionByName(tried.select(F.col("a").alias("key"))).unionByName(tried.select(F.col("b").alias("key"))).distinct()
-    held = materialize(texts.dropDuplicates(["key"]).join(needed, "key", "left_semi"), "jaccard-texts")
+    held = materialize(texts.join(needed, "key", "left_semi"), "jaccard-texts")
     keys = materialize(heads.select(F.col("key").alias("code"), F.col("key").alias("doc")), "jaccard-keys")
-    release(heads)
+    release(heads, texts)
 
     links = verified(tried, held, least, words)
     label = components(keys, links)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import bounded_batches, materialize, plus, release
+from corvane.llm.common import bounded_batches, materialize, plus, release, shuffles_dropped
 from corvane.llm.components import components
 
 #: Distinct fingerprints up to which a bucket's members are compared one by one.
@@ -144,18 +144,19 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *,
     from corvane.llm import jaccard
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
-    texts = rows.select("key", "text")
-    heads = materialize(jaccard.heads(texts, least, words), "simhash-heads")
-    owner = materialize(heads.groupBy("code").agg(F.min("key").alias("key")), "simhash-owners")
-    # each fingerprint is verified with the smallest one linked to it; what that leaves apart the set join finds
-    close = links(owner.select("code"), radius).groupBy("b").agg(F.min("a").alias("a"))
-    between = close.join(owner.select(F.col("code").alias("a"), F.col("key").alias("x")), "a").join(owner.select(F.col("code").alias("b"), F.col("key").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    within = heads.select("code", F.col("key").alias("b")).join(owner.select("code", F.col("key").alias("a")), "code").where("a <> b").select("a", "b")
-    found = jaccard.connected(texts, heads, between.unionByName(within), least, words)
-    release(owner)
-    ids = materialize(rows.select("doc_id", "key"), "simhash-ids")
-    label = found.select(F.col("code").alias("key"), F.col("doc").alias("root"))
-    ids = ids.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low"))
-    first = materialize(first.select("root", F.col("low.doc_id").alias("component_id"), F.col("low.key").alias("first_key")), "simhash-first")
+    with shuffles_dropped(docs.sparkSession):
+        texts = materialize(rows.select("key", "text").dropDuplicates(["key"]), "simhash-texts")
+        heads = materialize(jaccard.heads(texts, least, words), "simhash-heads")
+        owner = materialize(heads.groupBy("code").agg(F.min("key").alias("key")), "simhash-owners")
+        # each fingerprint is verified with the smallest one linked to it; what that leaves apart the set join finds
+        close = links(owner.select("code"), radius).groupBy("b").agg(F.min("a").alias("a"))
+        between = close.join(owner.select(F.col("code").alias("a"), F.col("key").alias("x")), "a").join(owner.select(F.col("code").alias("b"), F.col("key").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        within = heads.select("code", F.col("key").alias("b")).join(owner.select("code", F.col("key").alias("a")), "code").where("a <> b").select("a", "b")
+        found = jaccard.connected(texts, heads, between.unionByName(within), least, words)
+        release(owner)
+        ids = materialize(rows.select("doc_id", "key"), "simhash-ids")
+        label = found.select(F.col("code").alias("key"), F.col("doc").alias("root"))
+        ids = ids.join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        first = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("low"))
+        first = materialize(first.select("root", F.col("low.doc_id").alias("component_id"), F.col("low.key").alias("first_key")), "simhash-first")
     return ids.join(first, "root").select("doc_id", "key", "component_id", "first_key")

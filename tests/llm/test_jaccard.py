@@ -82,6 +82,22 @@ def test_two_texts_of_one_id_are_two_documents(spark, docs):
         assert {(r.doc_id, r.text) for r in kept} - {(None, prose(40, 3, 1))} == {(1, a), (5, b)} and len(kept) == len({t for _, t in rows})
 
 
+def test_a_text_is_met_by_its_rarest_shingles_counted_over_all_texts(spark):
+    passages = [prose(12, 300 + k, 1) for k in range(60)]
+    rows = [(k, f"{prose(60, 9500 + k, 1)} own{k} {passages[k % 60]} {passages[(k + 1) % 60]}") for k in range(120)]
+    rows += [(200, rows[0][1] + " end"), (201, ""), (202, " ")]
+    firsts = {r.key: set(r.firsts) for r in jaccard.heads(spark.createDataFrame(rows, "key long, text string"), 0.8, 5).collect()}
+    met = {(a, b) for a, b in itertools.combinations(sorted(firsts), 2) if firsts[a] & firsts[b]}
+    assert len(firsts) == len(rows) and met == {(0, 200), (201, 202)}  # passages are held by four texts: none is met by them
+
+
+def test_the_setting_that_drops_shuffles_is_put_back(spark, docs):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    simhash.near_copies(docs.limit(3)).count()
+    assert spark.conf.get(name, None) == before
+
+
 def test_awkward_tables(clashing, docs, nothing):
     assert simhash.near_copies(clashing).count() == docs.count()
     assert simhash.near_copies(nothing).collect() == []
