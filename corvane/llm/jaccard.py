@@ -195,7 +195,10 @@ def connected(texts: DataFrame, heads: DataFrame, close: DataFrame, least: float
     # what is left apart: the holders of a shingle that few hold meet as pairs, those of other shingles block by block, and only links leave a task
     now = materialize(told(), "jaccard-told")
     mixed = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("token", "n")
-    mixed = materialize(now.join(mixed, "token"), "jaccard-mixed")
+    # written before the join: both of its sides are then plain shuffles, whose large partitions (a shingle of many) Spark may split
+    apart = materialize(mixed, "jaccard-apart")
+    mixed = materialize(now.join(apart, "token"), "jaccard-mixed")
+    release(apart)
     few, many = mixed.where(F.col("n") <= FEW), mixed.where(F.col("n") > FEW)
     left, right = (few.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "label")]) for side in "xy")
     rest = left.join(right, "token").where((F.col("label_x") < F.col("label_y")) & near(F.col("size_x"), F.col("size_y")))
