@@ -303,3 +303,17 @@ def test_zip_members(spark):
         z.writestr("y.txt", "two")
     got = parsing.unzipped(spark.createDataFrame([("z.zip", bytearray(data.getvalue()))], "path string, content binary")).collect()
     assert {(r.path, bytes(r.content)) for r in got} == {("a/x.txt", b"one"), ("y.txt", b"two")}
+
+
+def test_titles_within_words_of_a_question(spark, tmp_path):
+    titles = ["beginning of things", "gin", "g of t", "beginning of", "things", "ö", "what does", "nothing", "", "begin  again"]
+    rows = [(0, "Beginning of things\nbody"), *[(k, f"{t}\nbody") for k, t in enumerate(titles, 1)], (50, "Schön  und\tgut")]
+    docs = [(i, t, "en", "s") for i, t in rows if i % 7]  # every seventh is restricted, but still readable by its language
+    spark.createDataFrame(docs + [(i, t, "en", "s") for i, t in rows if i % 7 == 0], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = {i: " ".join(t.split("\n")[0].split()).lower() for i, t in rows}
+    want = {(q, f"doc-{d}") for q in (0, 50) for d, t in clean.items() if t and t in f"what does {clean[q]} say"}
+    from corvane.plans import retrieval
+
+    got = retrieval.title_in_query(spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.document_id) for r in got} == want and len(got) == len(want) and (0, "doc-2") in want and (50, "doc-6") in want
