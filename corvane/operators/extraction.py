@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from re import _parser
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.functions import workers
 from corvane.operators import knowledge
+from corvane.sources import durable
 
 #: Section titles of technical notes.
 TITLES = ["ABSTRACT", "ANSWER", "CAUSE", "CONTENT", "DESCRIPTION", "ENVIRONMENT", "ERROR DESCRIPTION", "LOCAL FIX", "PROBLEM", "PROBLEM CONCLUSION", "QUESTION", "RELATED INFORMATION", "RESOLVING THE PROBLEM", "SOLUTION", "SUMMARY", "SYMPTOM"]
@@ -29,6 +31,21 @@ FAMILIES = [
 ]
 
 
+#: Characters that patterns without case take for plain letters, though their lower case is another.
+ODD_CASES = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
+
+
+def _needed(pattern: str) -> str:
+    """The longest run of characters, in lower case, without which a text can't match: literals that stand in no group, choice or repetition."""
+    runs = [""]
+    for op, value in _parser.parse(pattern):
+        if op is _parser.LITERAL:
+            runs[-1] += chr(value)
+        else:
+            runs.append("")
+    return max(runs, key=len).lower()
+
+
 def heading(line: Column) -> Column:
     """Whether a line is a section heading: Markdown, numbered, a known title, or nearly all capitals."""
     s = F.trim(line)
@@ -52,33 +69,33 @@ def sections(docs: DataFrame, key: str = "document_id", text: str = "content") -
 
 def entities(docs: DataFrame, key: str = "document_id", text: str = "content", before: int = 90, after: int = 120) -> DataFrame:
     """key, kind, name, start, end, confidence, evidence: spans of all families, the first family's where one place has several."""
-    compiled = [(k, re.compile(p), c) for k, p, c in FAMILIES]
-
-    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for i, t in zip(p["key"], p["text"]):
-                seen = set()
-                for kind, pattern, confidence in compiled:
-                    for m in pattern.finditer(t or ""):
-                        mark = (kind, m[0].lower(), m.start())
-                        if mark not in seen:
-                            seen.add(mark)
-                            rows.append((i, kind, m[0], m.start(), m.end(), confidence, t[max(0, m.start() - before) : m.end() + after]))
-            yield pd.DataFrame(rows, columns=["key", "kind", "name", "start", "end", "confidence", "evidence"])
-
-    out = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(work, "key string, kind string, name string, start int, end int, confidence double, evidence string")
+    compiled = [(k, _needed(p), re.compile(p), c) for k, p, c in FAMILIES]
+
+    def make(i: str, t: str | None) -> Iterator[tuple]:
+        t = t or ""
+        low, seen = (t if t.isascii() else t.translate(ODD_CASES)).lower(), set()
+        for kind, needed, pattern, confidence in compiled:
+            if needed not in low:
+                continue
+            for m in pattern.finditer(t):
+                mark = (kind, m[0].lower(), m.start())
+                if mark not in seen:
+                    seen.add(mark)
+                    yield i, kind, m[0], m.start(), m.end(), confidence, t[max(0, m.start() - before) : m.end() + after]
+
+    out = workers.flat_map(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")), make, "key string, kind string, name string, start int, end int, confidence double, evidence string")
     return out.withColumnRenamed("key", key)
 
 
 def relations(found: DataFrame, key: str = "document_id", reach: int = 220) -> DataFrame:
     """key, source, target, relation: versions of the nearest product within reach, and references from the text to the documents it names; each once."""
-    ids = found.withColumn("_i", F.xxhash64(key, "kind", "start"))
+    # read five times below, found once
+    ids = durable.written(found.where(F.col("kind").isin("version", "product", "document")).select(key, "kind", "name", "start", F.xxhash64(key, "kind", "start").alias("_i")), "entities")
     side = lambda kind, name: ids.where(F.col("kind") == kind).select(F.col(key).alias("doc_id"), F.col("_i").alias(name), F.col("start").alias("at"))
     near = knowledge.nearest_within(side("version", "left_id"), side("product", "right_id"), reach)
     names = ids.select(F.col("_i"), F.lower("name").alias("n"))
     ver = near.join(names.withColumnsRenamed({"_i": "left_id", "n": "source"}), "left_id").join(names.withColumnsRenamed({"_i": "right_id", "n": "target"}), "right_id").select(F.col("doc_id").alias(key), "source", "target", F.lit("version_of").alias("relation"))
-    ref = found.where("kind = 'document'").select(key, F.lower(F.col(key)).alias("source"), F.lower("name").alias("target"), F.lit("references").alias("relation"))
+    ref = ids.where("kind = 'document'").select(key, F.lower(F.col(key)).alias("source"), F.lower("name").alias("target"), F.lit("references").alias("relation"))
     return ver.unionByName(ref).where("source <> target").distinct()
 
 
@@ -94,21 +111,22 @@ def events(docs: DataFrame, key: str = "document_id", text: str = "content", mos
 def review_units(parts: DataFrame, key: str = "document_id", most: int = 14_000, overlap: int = 500) -> DataFrame:
     """key, unit, text: sections (ordinal, body) of a document packed in order up to `most` characters; longer ones cut to overlapping windows."""
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held = [], ""
-        for body in pdf.sort_values("ordinal")["body"]:
+    def pack(i, parts: list[dict]) -> Iterator[tuple]:
+        unit, held = 0, ""
+        for x in sorted(parts, key=lambda x: x["ordinal"]):
+            body = x["body"]
             pieces = [body] if len(body) <= most else [body[k : k + most] for k in range(0, len(body) - overlap, most - overlap)]
             for p in pieces:
                 if held and len(held) + 1 + len(p) > most:
-                    out.append(held)
-                    held = ""
+                    yield i, unit, held
+                    unit, held = unit + 1, ""
                 held = f"{held}\n{p}" if held else p
         if held:
-            out.append(held)
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "unit": range(len(out)), "text": out})
+            yield i, unit, held
 
     kind = dict(parts.dtypes)[key]
-    return parts.select(key, "ordinal", "body").groupBy(key).applyInPandas(pack, f"{key} {kind}, unit int, text string")
+    whole = parts.groupBy(key).agg(F.collect_list(F.struct("ordinal", "body")).alias("parts"))
+    return workers.flat_map(whole, pack, f"{key} {kind}, unit int, text string")
 
 
 def utc(text: Column, fallback: Column) -> Column:
