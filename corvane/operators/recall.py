@@ -31,16 +31,18 @@ def branches(docs: DataFrame, queries: DataFrame, limit: int, *, key: str = "doc
     """
     asked = queries.select("query_id", "query", T.retrieval_queries(F.col("query")).alias("_q"), T.feature_text(F.col("query")).alias("_f"))
     focused = F.element_at("_q", -1)
+    content = asked.select(F.lit("sparse").alias("branch"), "query_id", "query").unionByName(asked.where(F.size("_q") > 1).select(F.lit("focused").alias("branch"), "query_id", focused.alias("query")))
     sides = [
-        ("sparse", docs.select(key, F.col("content").alias("text")), asked.select("query_id", "query")),
-        ("focused", docs.select(key, F.col("content").alias("text")), asked.where(F.size("_q") > 1).select("query_id", focused.alias("query"))),
-        ("title", docs.select(key, F.col("title").alias("text")), asked.select("query_id", focused.alias("query"))),
-        ("feature", docs.select(key, T.feature_text(F.concat_ws(" ", "title", "content")).alias("text")), asked.where("_f <> ''").select("query_id", F.col("_f").alias("query"))),
+        (docs.select(key, F.col("content").alias("text")), content),  # both branches from one pass
+        (docs.select(key, F.col("title").alias("text")), asked.select(F.lit("title").alias("branch"), "query_id", focused.alias("query"))),
+        (docs.select(key, T.feature_text(F.concat_ws(" ", "title", "content")).alias("text")), asked.where("_f <> ''").select(F.lit("feature").alias("branch"), "query_id", F.col("_f").alias("query"))),
     ]
-    out = None
-    for name, texts, questions in sides:
-        raw = lexical.bm25(texts, questions, key=key, text="text").select("query_id", key, F.round("raw", 6).alias("raw"))
-        best = lexical.top(raw, limit, "raw", key).select("query_id", F.lit(name).alias("branch"), key, "rank")
+    out, kind = None, dict(queries.dtypes)["query_id"]
+    for texts, questions in sides:
+        both = questions.select(F.concat_ws(":", "branch", F.col("query_id").cast("string")).alias("query_id"), "query")
+        raw = lexical.bm25_best(texts, both, limit, key=key, text="text").select("query_id", key, F.round("raw", 6).alias("raw"))
+        at = F.instr("query_id", ":")
+        best = lexical.top(raw, limit, "raw", key).select(F.substring("query_id", at + 1, F.length("query_id")).cast(kind).alias("query_id"), F.substring("query_id", F.lit(1), at - 1).alias("branch"), key, "rank")
         out = best if out is None else out.unionByName(best)
     return out
 

@@ -133,7 +133,7 @@ ROUTE = f"""WITH {BM25}, need AS (SELECT query_id AS need_id, doc_id, score, row
 
 def route(spark, sf_dir) -> DataFrame:
     """need_id, doc_id, score, rank, norm: the first 16 of each need."""
-    s = bm25_scored(spark, sf_dir).where("query_id < 5")
+    s = bm25_scored(spark, sf_dir, 16).where("query_id < 5")
     r = lexical.top(s, 16, "score", "doc_id").withColumnRenamed("query_id", "need_id")
     return r.withColumn("norm", F.col("score") / F.max("score").over(W.partitionBy("need_id")))
 
@@ -178,7 +178,7 @@ PACK = BM25 + f""", t AS (SELECT query_id, doc_id, row_number() OVER (PARTITION
 
 
 def packed_hits(spark, sf_dir) -> DataFrame:
-    t = lexical.top(bm25_scored(spark, sf_dir), 8, "score", "doc_id").select("query_id", "doc_id", "rank")
+    t = lexical.top(bm25_scored(spark, sf_dir, 8), 8, "score", "doc_id").select("query_id", "doc_id", "rank")
     size = model.table(spark, sf_dir, "documents").select("doc_id", F.size(T.retrieval_tokens(F.col("text"))).cast("long").alias("tokens"))
     return t.join(size, "doc_id")
 
@@ -198,7 +198,7 @@ def pack_skip(spark, sf_dir):
 
 def coverage_select(spark, sf_dir):
     """The best five by score without near-duplicates among a query's first eight."""
-    hits = lexical.top(bm25_scored(spark, sf_dir).where("query_id < 10"), 8, "score", "doc_id")
+    hits = lexical.top(bm25_scored(spark, sf_dir, 8).where("query_id < 10"), 8, "score", "doc_id")
     grams = model.table(spark, sf_dir, "documents").select("doc_id", T.char_grams(F.col("text")).alias("grams"))
     return packing.covering(hits.join(grams, "doc_id").select("query_id", F.col("doc_id").alias("document_id"), "score", "grams"), 5)
 

@@ -71,7 +71,7 @@ def evaluation_tokens(spark, sf_dir):
   SELECT query_id, doc_id, CASE WHEN len(g) = 0 THEN 0.0 ELSE round(len(list_intersect(g, c))::DOUBLE / len(g), 6) END AS recall FROM t""")
 def content_recall(spark, sf_dir):
     """How much of each question's passage the best document holds."""
-    best = lexical.top(bm25_scored(spark, sf_dir), 1, "score", "doc_id").select("query_id", "doc_id")
+    best = lexical.top(bm25_scored(spark, sf_dir, 1), 1, "score", "doc_id").select("query_id", "doc_id")
     met = best.join(model.gold(spark, sf_dir), "query_id").join(model.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return met.select("query_id", "doc_id", F.round(T.content_recall(F.col("query"), F.col("text")), 6).alias("recall"))
 
@@ -184,7 +184,7 @@ _ALL = BM25.replace("FROM auth)", "FROM docs)")
 def guarded_hits(spark, sf_dir):
     """A search that forgot the rights, looked at again: whose documents the principal may not read, or that are not among the candidates, are refused."""
     docs = model.documents(spark, sf_dir)
-    found = lexical.top(lexical.max_normalised(lexical.bm25(docs.select("doc_id", "content"), model.gold(spark, sf_dir))).withColumn("score", F.round("score", 6)), 10, "score", "doc_id").select("query_id", "doc_id", "rank")
+    found = lexical.top(lexical.max_normalised(lexical.bm25_best(docs.select("doc_id", "content"), model.gold(spark, sf_dir), 10)).withColumn("score", F.round("score", 6)), 10, "score", "doc_id").select("query_id", "doc_id", "rank")
     return recall.guarded(found, docs, PRINCIPAL, allowed=docs.where("doc_id % 5 < 4").select("doc_id"))
 
 
@@ -195,7 +195,7 @@ def parent_hydration(spark, sf_dir):
     d = model.table(spark, sf_dir, "documents")
     parents = d.groupBy(F.col("source").alias("parent_id")).agg(F.concat(F.count(F.lit(1)), F.lit(" documents")).alias("parent_content"))
     chunks = d.select(F.col("doc_id"), F.col("source").alias("parent_id"), F.when(F.col("doc_id") % 4 == 0, "own").alias("parent_content"))
-    hits = lexical.top(bm25_scored(spark, sf_dir), 5, "score", "doc_id").select("query_id", "doc_id").join(chunks, "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    hits = lexical.top(bm25_scored(spark, sf_dir, 5), 5, "score", "doc_id").select("query_id", "doc_id").join(chunks, "doc_id").withColumnRenamed("doc_id", "chunk_id")
     return recall.hydrated(hits, parents)
 
 
@@ -212,7 +212,7 @@ def chunk_maxima(spark, sf_dir):
  SELECT query_id, lim AS "limit", max(docs) AS documents FROM st JOIN l USING (query_id) WHERE rank <= lim GROUP BY ALL""")
 def adaptive_recall(spark, sf_dir):
     """How far recall must double, from five chunks, for four distinct parents (ids modulo 7 stand for parents)."""
-    hits = lexical.top(bm25_scored(spark, sf_dir), 40, "score", "doc_id").select("query_id", (F.col("doc_id") % 7).alias("doc_id"), "rank")
+    hits = lexical.top(bm25_scored(spark, sf_dir, 40), 40, "score", "doc_id").select("query_id", (F.col("doc_id") % 7).alias("doc_id"), "rank")
     return recall.distinct_within(hits, 5, 4)
 
 

@@ -317,3 +317,28 @@ def test_titles_within_words_of_a_question(spark, tmp_path):
 
     got = retrieval.title_in_query(spark, str(tmp_path)).collect()
     assert {(r.query_id, r.document_id) for r in got} == want and len(got) == len(want) and (0, "doc-2") in want and (50, "doc-6") in want
+
+
+def test_best_by_bm25_are_those_of_all(spark):
+    import random
+
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    texts = [" ".join(r.choices(words, k=r.randrange(0, 60))) for _ in range(300)] + ["w1 w2 w3"] * 30 + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string").repartition(5)
+    asked = spark.createDataFrame([(k, " ".join(r.choices(words, k=1 + k % 9))) for k in range(30)] + [(30, "none of these"), (31, "w1 w2 w3")], "query_id long, query string")
+    place = lambda raw: {(x.query_id, x.doc_id, x.rank): x.score for x in lexical.top(lexical.max_normalised(raw).withColumn("score", F.round("score", 6)), 7, "score", "doc_id").collect()}
+    few = lexical.bm25_best(docs, asked, 7)
+    got, want = place(few), place(lexical.bm25(docs, asked))
+    assert got == want and len(want) > 200
+    assert few.count() < lexical.bm25(docs, asked).count() / 2  # the rest leaves no task
+    whole = {(x.query_id, x.doc_id): x.raw for x in lexical.bm25(docs, asked).collect()}
+    assert all(x.raw == pytest.approx(whole[x.query_id, x.doc_id]) for x in few.collect())
+
+
+def test_a_batch_of_too_many_terms_goes_by_joins(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a1 b1"), (2, "b1 c1")], "doc_id long, content string")
+    asked = spark.createDataFrame([(1, "a1 b1 c1")], "query_id long, query string")
+    want = sorted(map(tuple, lexical.bm25_best(docs, asked, 5).collect()))
+    monkeypatch.setattr(lexical, "MOST_TERMS", 2)
+    assert [x[:2] for x in sorted(map(tuple, lexical.bm25_best(docs, asked, 5).collect()))] == [x[:2] for x in want] and len(want) == 2
