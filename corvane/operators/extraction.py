@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from re import _parser
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -35,17 +34,6 @@ FAMILIES = [
 ODD_CASES = {0x130: "i", 0x131: "i", 0x17F: "s", 0x212A: "k"}
 
 
-def _needed(pattern: str) -> str:
-    """The longest run of characters, in lower case, without which a text can't match: literals that stand in no group, choice or repetition."""
-    runs = [""]
-    for op, value in _parser.parse(pattern):
-        if op is _parser.LITERAL:
-            runs[-1] += chr(value)
-        else:
-            runs.append("")
-    return max(runs, key=len).lower()
-
-
 def heading(line: Column) -> Column:
     """Whether a line is a section heading: Markdown, numbered, a known title, or nearly all capitals."""
     s = F.trim(line)
@@ -69,7 +57,7 @@ def sections(docs: DataFrame, key: str = "document_id", text: str = "content") -
 
 def entities(docs: DataFrame, key: str = "document_id", text: str = "content", before: int = 90, after: int = 120) -> DataFrame:
     """key, kind, name, start, end, confidence, evidence: spans of all families, the first family's where one place has several."""
-    compiled = [(k, _needed(p), re.compile(p), c) for k, p, c in FAMILIES]
+    compiled = [(k, T.needed(p), re.compile(p), c) for k, p, c in FAMILIES]
 
     def make(i: str, t: str | None) -> Iterator[tuple]:
         t = t or ""

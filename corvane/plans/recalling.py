@@ -47,8 +47,11 @@ _SAME = r"focused = '' OR lower(trim(regexp_replace(focused, '\s+', ' ', 'g')))
   SELECT doc_id, focused, CASE WHEN {_SAME} THEN 1 ELSE 2 END::BIGINT AS n_queries FROM f""")
 def focused_query(spark, sf_dir):
     """Each document taken as a question: its focused form, and how many questions are asked."""
-    t = F.coalesce("text", F.lit(""))
-    return model.table(spark, sf_dir, "documents").select("doc_id", T.focused_query(t).alias("focused"), F.size(T.retrieval_queries(t)).cast("long").alias("n_queries"))
+    # a column for each part: an expression inside a function of array elements would be worked out again for each of them
+    t = model.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    parts = t.select("doc_id", "t", T.headline(F.col("t")).alias("head"), T.identifiers(F.col("t")).alias("ids"), T.versions(F.col("t")).alias("ver"), F.concat(T.named(F.col("t"), T.PRODUCTS), T.named(F.col("t"), T.COMPONENTS)).alias("names"))
+    asked = parts.select("doc_id", "t", T.focused_by(F.col("t"), F.col("head"), F.concat("names", F.array_except("ids", "ver"), "ver")).alias("focused"))
+    return asked.select("doc_id", "focused", F.when(T.same_question(F.col("t"), F.col("focused")), 1).otherwise(2).cast("long").alias("n_queries"))
 
 
 @query(f"SELECT doc_id, {_sql_feature_text('text', "'doc-' || doc_id")} AS features FROM documents")

@@ -342,3 +342,17 @@ def test_a_batch_of_too_many_terms_goes_by_joins(spark, monkeypatch):
     want = sorted(map(tuple, lexical.bm25_best(docs, asked, 5).collect()))
     monkeypatch.setattr(lexical, "MOST_TERMS", 2)
     assert [x[:2] for x in sorted(map(tuple, lexical.bm25_best(docs, asked, 5).collect()))] == [x[:2] for x in want] and len(want) == 2
+
+
+def test_features_where_patterns_are_passed_over(spark):
+    import re
+
+    texts = ["", "  \n\t\n\x1c First  line \r\nIBM MQ 2035 and v1.2, swg2 Datapower", "mq 9", "swgx only", "MQRC_NOT_OK", "no such thing", "IOError then FooException 1.2", "ABC-12 ABC123X", " x\x85y", "WAS was Was", "  \n second"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.headline(F.col("t")).alias("h"), T.identifiers(F.col("t")).alias("ids"), T.versions(F.col("t")).alias("v"), T.named(F.col("t"), T.PRODUCTS).alias("p"))
+    plain = lambda t, ps: {m[0].lower() for p in ps for m in re.finditer(p, t, re.ASCII)}
+    for r in d.collect():
+        t = texts[r.i]
+        lines = [x for x in (re.sub(r"[ \t\n\x0b\f\r]+", " ", line).strip(" ") for line in re.split(T.LINE_END, t)) if x]
+        assert r.h == (lines[0][:360] if lines else None), t
+        assert set(r.ids) == plain(t, T.IDENTIFIERS) | {f"mq {m[2]}" for m in re.finditer(T.NUMBERED_NAME, t, re.ASCII)} and set(r.v) == plain(t, [T.VERSION])
+        assert set(r.p) == {n for n, ps in T.PRODUCTS.items() if any(re.search(p, t, re.ASCII) for p in ps)}
